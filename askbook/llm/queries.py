@@ -34,5 +34,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM told GROUP BY doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op10_simhash": op10_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL}
