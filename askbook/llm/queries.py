@@ -41,5 +41,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op10_simhash": op10_simhash}
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.flac import text_media
+
+    done = text_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -32, 32)).alias("tail_crc32"),
+        F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "error",
+    )
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op7_flac": op7_flac, "op10_simhash": op10_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL}
