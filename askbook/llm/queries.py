@@ -41,6 +41,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askbook.llm.flac import text_media
 
@@ -51,5 +63,5 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op7_flac": op7_flac, "op10_simhash": op10_simhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_packing": op6_packing, "op7_flac": op7_flac, "op10_simhash": op10_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL}
