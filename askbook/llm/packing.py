@@ -79,8 +79,11 @@ def load(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     return _LOADED[path]
 
 
-def cut(places: np.ndarray, costs: np.ndarray, length: int) -> list[int]:
-    """Which places (rising, after a start at 0, gaps of at most length) end a window in a cheapest division up to the last."""
+def cut(places: np.ndarray, costs: np.ndarray, length: int, open_end: bool = True) -> list[int]:
+    """Which places (rising, after a start at 0, gaps of at most length) end a window in a cheapest division up to the last.
+
+    With open_end the last window, of less than `length`, is left out: it costs nothing, whatever its size.
+    """
     at, cost = [0, *places.tolist()], [0, *costs.tolist()]
     best, back = [0] * len(at), [0] * len(at)
     queue, value = deque([0]), [0] * len(at)  # places that may begin a window; value: best + place, rising along the queue
@@ -96,6 +99,9 @@ def cut(places: np.ndarray, costs: np.ndarray, length: int) -> list[int]:
             queue.pop()
         queue.append(j)
     out, j = [], len(at) - 1
+    if open_end:
+        first = int(np.searchsorted(places, at[-1] - length, side="right")) + 1 if at[-1] >= length else 0
+        j = first + int(np.argmin(best[first:]))
     while j:
         out.append(at[j])
         j = back[j]
@@ -137,15 +143,12 @@ class Packer:
         if len(ids):
             places, costs = cut_places(ids, doc_ends, self.ends)
             windows = cut(places, costs, self.length)
-            if last:
-                first = windows[-2] if len(windows) > 1 else 0
-                rest = windows.pop() - first
-                while rest:
-                    first += 1 << (rest.bit_length() - 1)
-                    rest -= 1 << (rest.bit_length() - 1)
-                    windows.append(first)
-            else:
-                windows = windows[:-2]  # the end of what has come so far isn't a free cut: later windows may differ
+            first = windows[-1] if windows else 0
+            rest = len(ids) - first if last else 0
+            while rest:
+                first += 1 << (rest.bit_length() - 1)
+                rest -= 1 << (rest.bit_length() - 1)
+                windows.append(first)
         upto = windows[-1] if windows else 0
         inner = doc_ends[doc_ends <= upto]
         edges = np.unique(np.concatenate([[0], windows, inner])).astype(np.int64)

@@ -25,12 +25,17 @@ def test_cut_is_cheapest(seed):
     gaps = [r.randint(1, length if r.random() < 0.2 else max(1, length // 4)) for _ in range(r.randint(1, 120))]
     places = np.cumsum(gaps)
     costs = np.array([r.choice([0, 3, 12]) for _ in gaps])
-    ends = P.cut(places, costs, length)
+    ends = P.cut(places, costs, length, open_end=False)
     assert ends[-1] == places[-1] and set(ends) <= set(places.tolist())
     cost_of = dict(zip(places.tolist(), costs.tolist()))
     sizes = np.diff([0, *ends])
     assert sizes.max() <= length
     assert sum(length - n for n in sizes) + sum(cost_of[e] for e in ends) == brute_cost(places.tolist(), costs.tolist(), length)
+    ends = P.cut(places, costs, length)
+    last = ends[-1] if ends else 0
+    assert 0 <= places[-1] - last < length
+    told = sum(length - n + cost_of[e] for n, e in zip(np.diff([0, *ends]), ends))
+    assert told == min(brute_cost(places[:k].tolist(), costs[:k].tolist(), length) or 0 for k in range(len(places) + 1) if places[-1] - (places[k - 1] if k else 0) < length)
 
 
 def test_encoder_is_the_librarys():
