@@ -63,5 +63,13 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_packing": op6_packing, "op7_flac": op7_flac, "op10_simhash": op10_simhash}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.bpe import decode, encode
+
+    path = tokenizer("word_bpe_49k.json")
+    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL}
