@@ -2,9 +2,9 @@
 
 Learning counts, over labelled documents, in how many toxic and other documents each feature (a
 word, or its first four or five letters) occurs. A feature's score is its log-odds ratio under a Dirichlet
-prior proportional to its frequency in both; those that stand out by `min_z` standard deviations are
-kept (at most `most_features`, by that measure). A token scores as its word, else as its beginnings, else
-a constant below zero. A linear scan (Ruzzo and Tompa's) gives all maximal segments of a text. A
+prior proportional to its frequency in both; those that stand out by `min_z` (the root of their likelihood
+ratio) and `min_ratio` are kept (at most `most_features`, by that measure). A token scores as its word, else as its beginnings, else
+a constant below zero; so does a word that follows itself. A linear scan (Ruzzo and Tompa's) gives all maximal segments of a text. A
 segment of score S among n tokens is as surprising as lambda S - ln(K n), where lambda solves
 E[exp(lambda s)] = 1 over tokens of non-toxic documents and K is fitted to their segments, by the theory of extreme
 values of such segments. What exceeds zero is summed over the text's segments, and a logistic curve
@@ -47,11 +47,17 @@ def features(word: str) -> Iterator[str]:
 
 
 def log_odds(toxic: np.ndarray, other: np.ndarray, toxic_docs: int, other_docs: int, prior: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
-    """Each feature's log-odds ratio and its z, with `prior` pseudo-documents shared out by overall frequency."""
-    weight = prior * (toxic + other) / (toxic_docs + other_docs)
+    """Each feature's log-odds ratio, with `prior` pseudo-documents shared out by overall frequency, and its likelihood ratio's root.
+
+    The root tells in standard deviations how far the counts are from those expected of a feature without leaning.
+    """
+    both = toxic + other
+    weight = prior * both / (toxic_docs + other_docs)
     a, b = toxic + weight, other + weight
     ratio = np.log(a / (toxic_docs + prior - a + 1e-9 + weight)) - np.log(b / (other_docs + prior - b + 1e-9 + weight))
-    return ratio, ratio / np.sqrt(1 / a + 1 / b)
+    share = toxic_docs / (toxic_docs + other_docs)
+    part = lambda seen, expected: seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+    return ratio, np.sqrt(np.maximum(0, 2 * (part(toxic, both * share) + part(other, both * (1 - share)))))
 
 
 def segments(score: np.ndarray, at: np.ndarray) -> list[tuple[float, int, int]]:
@@ -104,6 +110,7 @@ class Model:
         known, token = self.known, self.token
         s = np.array([known[w] if w in known else token(w) for w in words])
         at = np.flatnonzero(s > 0)
+        at = at[np.array([not i or words[i] != words[i - 1] for i in at.tolist()], bool)]  # a word said again at once tells nothing new
         return len(words), s[at], segments(s[at], at) if len(at) else []
 
     def surprise(self, n: int, found: list[float]) -> float:
@@ -148,7 +155,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     return told.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5, text: str = "text", doc_id: str = "doc_id", most_rows: int = 120_000, min_docs: int = 4, min_z: float = 3.0, most_features: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, folds: int = 5, text: str = "text", doc_id: str = "doc_id", most_rows: int = 120_000, min_docs: int = 4, min_z: float = 5.5, min_ratio: float = 2.0, most_features: int = 200_000) -> Model:
     """The model of the labelled rows outside the held-out fold."""
     from askbook.llm._util import checkpointed
 
@@ -165,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int
     gain = F.col("toxic") * F.log((F.col("toxic") + 0.5) / toxic_docs / ((F.col("other") + 0.5) / other_docs))
     got = leaning.orderBy(gain.desc(), "feature").limit(most_features).toPandas()
     ratio, z = log_odds(got["toxic"].to_numpy(float), got["other"].to_numpy(float), toxic_docs, other_docs)
-    keep = (z >= min_z) & (ratio > 0)
+    keep = (z >= min_z) & (ratio >= min_ratio)
     model = Model(dict(zip(got["feature"][keep], ratio[keep].tolist())))
     return _calibrated(model, rows)
 
