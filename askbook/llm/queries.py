@@ -41,6 +41,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.quality import quality
+
+    done = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askbook.llm.toxicity import toxicity
 
@@ -78,5 +85,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
 ORACLES = {"op1_line_dedup": OP1_SQL}
