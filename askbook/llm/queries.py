@@ -55,6 +55,55 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "held_out", "score", "predicted", "passages")
 
 
+CHAT_BUDGET, CHAT_HISTORY = 2048, 256
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.chat import digest, format_windows
+
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digest(format_windows(turns, CHAT_BUDGET, CHAT_HISTORY))
+
+
+OP5_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_ \t\n\r\f]')) + 4 AS tokens,
+    row_number() OVER w - 1 AS ord,
+    14 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'), ': ', ':\ '))
+      + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##')) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), placed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens AS before,
+    min(CASE WHEN role = 'system' THEN ord END) OVER (PARTITION BY conv_id) AS sys_ord FROM sized
+), celled AS (
+  SELECT p.*, coalesce(s.tokens, 0) AS sys_tokens, coalesce(s.chars, 0) AS sys_chars,
+    greatest({CHAT_HISTORY}, ({CHAT_BUDGET - CHAT_HISTORY} - coalesce(s.tokens, 0)) // 2) AS cell
+  FROM placed p LEFT JOIN sized s ON s.conv_id = p.conv_id AND s.ord = p.sys_ord
+), windowed AS (SELECT *, before // cell AS win FROM celled),
+spans AS (
+  SELECT conv_id, win, min(before) AS begins, min(ord) AS first_ord, sum(chars) AS chars, any_value(sys_ord) AS sys_ord, any_value(sys_chars) AS sys_chars
+  FROM windowed GROUP BY ALL
+), again AS (
+  SELECT s.conv_id, s.win, min(p.ord) AS first_ord, sum(p.chars) AS chars
+  FROM spans s JOIN windowed p ON p.conv_id = s.conv_id AND p.win = s.win - 1 AND p.before >= s.begins - {CHAT_HISTORY} GROUP BY ALL
+), written AS (
+  SELECT s.conv_id, count(*) AS n_windows, sum(s.chars + coalesce(a.chars, 0) + CASE WHEN s.sys_ord < coalesce(a.first_ord, s.first_ord) THEN s.sys_chars ELSE 0 END) AS formatted_chars
+  FROM spans s LEFT JOIN again a USING (conv_id, win) GROUP BY ALL
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord) AS said,
+    coalesce(string_agg(text, '' ORDER BY ord) FILTER (WHERE role = 'assistant'), '') AS target FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars, n_windows
+FROM said JOIN written USING (conv_id)
+"""
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -85,5 +134,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL}
