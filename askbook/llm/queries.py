@@ -126,6 +126,25 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from askbook.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP8_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from askbook.llm.bpe import decode, encode
 
@@ -134,5 +153,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_flac": op7_flac, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op5_chat": op5_chat, "op6_packing": op6_packing, "op7_flac": op7_flac, "op8_topk": op8_topk, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op8_topk": OP8_SQL}
