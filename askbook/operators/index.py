@@ -17,25 +17,29 @@ def date_index(listings: DataFrame) -> DataFrame:
     """date, i (from 0) and last: the observed dates in order; as many rows as there are days."""
     dates = listings.select("date").distinct()
     order = Window.partitionBy().orderBy("date")
-    return dates.select("date", (F.row_number().over(order) - 1).alias("i"), (F.count(F.lit(1)).over(Window.partitionBy()) - 1).alias("last"))
+    return dates.select("date", (F.row_number().over(order) - 1).cast("bigint").alias("i"), (F.count(F.lit(1)).over(Window.partitionBy()) - 1).alias("last"))
 
 
 def rolling_medians(listings: DataFrame, dates: DataFrame, keys: list[str], width: int, least: int) -> DataFrame:
     """keys, i, n, median over each key's prices of the last `width` observed dates, where there are at least `least`.
 
-    A key has a row for every date from its first to width - 1 after its last, whether or not it was listed then. Runs of SPAN
-    dates are pooled apart; what the next run still needs is dealt to it as well.
+    Values are told for dates without a listing of the key, too, as long as the pool of the dates before holds enough. Only
+    dates with a pool are made: from each listed date to the next, or width - 1 further. Runs of SPAN dates are pooled apart, and
+    a run gets the dates before it that its pools reach back to, so all is done within one exchange by key and run.
     """
-    daily = listings.join(dates, "date").groupBy(*keys, "i", "last").agg(F.collect_list("price").alias("prices"))
-    ends = daily.groupBy(*keys).agg(F.min("i").alias("a"), F.least(F.max("i") + width - 1, F.max("last")).alias("b"))
-    grid = ends.select(*keys, F.explode(F.sequence("a", "b")).alias("i"))
-    dense = grid.unionByName(daily.select(*keys, "i", "prices"), allowMissingColumns=True)
     run = F.floor(F.col("i") / SPAN)
     late = F.col("i") >= (run + 1) * SPAN - (width - 1)
-    dealt = dense.withColumn("run", F.explode(F.when(late & F.col("prices").isNotNull(), F.array(run, run + 1)).otherwise(F.array(run))))
-    window = Window.partitionBy(*keys, "run").orderBy("i").rangeBetween(-(width - 1), 0)
-    pooled = dealt.withColumn("pool", F.flatten(F.collect_list("prices").over(window)))
-    told = pooled.where(F.col("prices").isNull() & (F.size("pool") >= least))  # the grid's rows, one a key and date
+    dated = listings.join(dates, "date").select(*keys, "i", "last", "price")
+    dealt = dated.withColumn("run", F.explode(F.when(late, F.array(run, run + 1)).otherwise(F.array(run)))).repartition(*keys, "run")
+    daily = dealt.groupBy(*keys, "run", "i").agg(F.collect_list("price").alias("prices"), F.max("last").alias("last"))
+    order = Window.partitionBy(*keys, "run").orderBy("i")
+    until = F.least(F.col("i") + width - 1, (F.col("run") + 1) * SPAN - 1, F.col("last"), F.coalesce(F.lead("i").over(order) - 1, F.col("last")))
+    on = F.greatest(F.col("i") + 1, F.col("run") * SPAN)
+    later = F.when(F.col("until") >= on, F.sequence(on, F.col("until"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    made = daily.withColumn("until", until).withColumn("at", F.explode(F.concat(F.array(F.col("i").cast("bigint")), later)))
+    rows = made.select(*keys, "run", F.col("at").alias("i"), F.when(F.col("at") == F.col("i"), F.col("prices")).alias("prices"))
+    pooled = rows.withColumn("pool", F.flatten(F.collect_list("prices").over(order.rangeBetween(-(width - 1), 0))))
+    told = pooled.where((F.col("i") >= F.col("run") * SPAN) & (F.size("pool") >= least))
     return told.select(*keys, "i", F.size("pool").cast("bigint").alias("n"), array_median(F.col("pool")).alias("median"))
 
 
@@ -108,7 +112,7 @@ def anchor_date(listings: DataFrame, brand_baselines: DataFrame) -> DataFrame:
     return first.withColumn("_share", so_far / every).where("_share >= 0.5").agg(F.min("date").alias("anchor_date"))
 
 
-def as_of_value(series: DataFrame, target: Column, name: str = "value") -> Column:
+def as_of_value(target: Column, name: str = "value") -> Column:
     """The aggregate that gives the value at the last date up to the target."""
     return F.max_by(F.when(F.col("date") <= target, F.col(name)), F.when(F.col("date") <= target, F.col("date")))
 
@@ -122,7 +126,7 @@ def changes(series: DataFrame, as_of: str) -> DataFrame:
     last_fresh = F.coalesce(F.max(F.when(fresh, F.col("date"))), F.lit(""))
     row = told.agg(
         F.max("date").alias("date"), F.max_by("value", "date").alias("current"), F.max_by("stale", "date").alias("stale"), F.max_by("_prev", "date").alias("v1"),
-        *[as_of_value(told, t).alias(f"v{d}") for d, t in back.items()], last_fresh.alias("last_fresh"),
+        *[as_of_value(t).alias(f"v{d}") for d, t in back.items()], last_fresh.alias("last_fresh"),
         F.min(F.when(fresh & F.col("value").isNotNull(), F.col("date"))).alias("first_computed"),
         F.sort_array(F.collect_list(F.when(F.col("stale"), F.col("date")))).alias("stale_dates"),
     )

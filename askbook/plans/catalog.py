@@ -100,6 +100,7 @@ SPARK = {
     "baseline_median": lambda s, d: _M(s, d).unit_baselines,
     "brand_baseline": lambda s, d: _M(s, d).brand_baselines,
     "rolling_unit_median": lambda s, d: (lambda m: m.medians.join(m.dates.select("i", "date"), "i").select(*units.UNIT, "date", "n", "median"))(_M(s, d)),
+    "rolling_model_median": lambda s, d: (lambda m: index.rolling_medians(m.plain, m.dates, ["brand", "model"], C.window_dates, C.min_per_unit))(_M(s, d)),
     "brand_weights": lambda s, d: _M(s, d).weights.withColumn("weight", F.round("weight", 6)),
     "brand_ratios": lambda s, d: (lambda m: m.ratios.join(m.dates.select("i", "date"), "i").select("brand", "date", F.round("ratio", 6).alias("ratio"), "listings"))(_M(s, d)),
     "composite": lambda s, d: _M(s, d).composite,
@@ -239,6 +240,7 @@ SQL = {
     "baseline_median": _with(_L, _UNITS, _baseline_sql("b", "units", _U)) + " SELECT * FROM b",
     "brand_baseline": _with(_L, _BRAND_BASE) + " SELECT * FROM brand_base",
     "rolling_unit_median": _with(_L, _MEDIANS) + f" SELECT {_U}, date, n, median FROM medians JOIN dates USING (i)",
+    "rolling_model_median": _with(_L, _DATES, _rolling_sql("m", "records", "brand, model", 21, 3)) + " SELECT * FROM m",
     "brand_weights": _with(_L, _W) + " SELECT brand, recent, round(weight, 6) AS weight FROM weights",
     "brand_ratios": _with(_L, _RATIOS) + " SELECT brand, date, round(ratio, 6) AS ratio, listings FROM ratios JOIN dates USING (i)",
     "composite": _with(_L, _COMPOSITE) + " SELECT date, value, stale, brands_tracked, total_listings FROM comp",
