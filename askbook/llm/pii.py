@@ -45,7 +45,7 @@ ADDRESS = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]
 MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")
-PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])")
+PHONE = re.compile(r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])")
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:(?P<known>AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)(?P<rest>[A-Za-z0-9_-]{12,}))")
 NAMED = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*(?:=|:)\s*[\"']?(?P<value>[^\s\"',;]{6,})")
 BLOCK = re.compile(r"-----BEGIN (?P<label>[A-Z ]*PRIVATE KEY)-----(?P<value>[^-]+)-----END (?P=label)-----")
@@ -260,11 +260,18 @@ def _base(c: str) -> str:
 def find(text: str) -> list[tuple[int, int, str]]:
     """Where entities are (start, end, kind), in order and without overlap."""
     out: list[tuple[int, int, str]] = []
+    rest = text  # with what is found blotted out, so that nothing reaches into it
 
     def add(kind: str, pattern: re.Pattern, group: str | int = 0, check: Callable[[str], bool] = lambda s: True) -> None:
-        for m in pattern.finditer(text):
-            if check(m[group]) and not any(a < m.end(group) and m.start(group) < b for a, b, _ in out):
-                out.append((m.start(group), m.end(group), kind))
+        nonlocal rest
+        found = [m.span(group) for m in pattern.finditer(rest) if check(m[group]) and "\0" not in m[group]]
+        if found:
+            out.extend((a, b, kind) for a, b in found)
+            parts, at = [], 0
+            for a, b in found:
+                parts += [rest[at:a], "\0" * (b - a)]
+                at = b
+            rest = "".join([*parts, rest[at:]])
 
     low = text.lower()
     if "-----begin" in low:

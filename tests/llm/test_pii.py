@@ -93,6 +93,13 @@ def test_names_keep_gender_script_and_mentions():
     assert len(made) == len(words) and not any(m.lower() in P.LISTED for m in made)
 
 
+def test_neighbours_are_told_apart():
+    text = "x +1 (826) 555-4081 190.137.223.20 4582016748928821 q@z.org,10.0.0.1 +1 (826) 555-4082 4111 1111 1111 1111"
+    new, told = P.replace(text, S)
+    assert [t["kind"] for t in told] == ["phone", "address", "card", "email", "address", "phone", "card"]
+    assert all(new[t["start"] : t["start"] + t["length"]] == t["surrogate"] for t in told)
+
+
 def test_secrets():
     for text, value in [('token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"), ("password=e3b3ed3cc8548923d6 x", "e3b3ed3cc8548923d6"), ("-----BEGIN RSA PRIVATE KEY-----\nabc123DEF\n-----END RSA PRIVATE KEY-----", "abc123DEF")]:
         new, told = P.replace(text, S)
