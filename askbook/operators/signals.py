@@ -44,7 +44,7 @@ def distributions(values: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def fastest(sold: DataFrame, top: int = 5) -> DataFrame:
-    return sold.orderBy("days_to_sell", "sold_id").limit(top)
+    return sold.orderBy("days_to_sell", "channel", "sold_id").limit(top)
 
 
 def coverage(sold: DataFrame, unique_items: int) -> DataFrame:

@@ -125,6 +125,9 @@ SPARK = {
     "sold_chain": lambda s, d: _chain(_M(s, d), 2).select("channel", "sold_id", "listing_id").unionByName(_chain(_M(s, d), 1).select((F.col("channel") + 1_000_000_000).alias("channel"), "sold_id", "listing_id")),
     "time_to_sell": lambda s, d: replies.speed_by_brand(_sold(_M(s, d)), C),
     "sold_removed": lambda s, d: (lambda m: replies.removal_stats(replies.removals(_chain(m, 2), m.messages.withColumn("sold", F.col("message_id") >= 2).withColumn("edit_count", (F.col("channel") % 3).cast("int")).withColumn("text_updated_at", F.lit("2026-09-01T10:00")), m.messages, "2026-08-03T15:00", "2026-08-03T16:00"), _sold(m)))(_M(s, d)),
+    "fastest_sales": lambda s, d: signals.fastest(_sold(_M(s, d))).select("channel", "sold_id", "listing_id", "days_to_sell"),
+    "sales_coverage": lambda s, d: signals.coverage(_sold(_M(s, d)), _M(s, d).messages.count()).select("confirmed", "unique_items", "pct", F.size("channels").alias("channels")),
+    "card_sales": lambda s, d: cards.sales_of_cards(_sold(_M(s, d)).withColumn("ref", (F.col("channel") % 40).cast("string")), C).select("brand", "ref", "sales_observed", "time_to_sell.*"),
     "ref_cards": lambda s, d: cards.cards(_M(s, d).grained, AS_OF, C),
     "card_monthly": lambda s, d: cards.monthly(_M(s, d).grained, C),
     "card_by_year": lambda s, d: cards.by_year(_M(s, d).grained.withColumn("year", F.substring("date", 1, 4).cast("int") - F.col("price") % 3), "year", C),
@@ -275,6 +278,9 @@ UNION ALL SELECT NULL, round(coalesce(sum(w * t / wt), 0) - coalesce(sum(w * y /
     "sold_removed": _with(_MSGS, _SOLD) + """, r AS (SELECT DISTINCT channel, listing_id FROM chain), e AS (SELECT channel, m FROM msgs WHERE channel % 3 > 0 AND m >= 2),
   d AS (SELECT channel, arg_min(days, sold_id) AS d FROM sold GROUP BY channel), v AS (SELECT list_sort(list(d)) AS v FROM d)
   SELECT (SELECT count(*) FROM r) + (SELECT count(*) FROM e) AS total_removed, (SELECT count(*) FROM r) AS reply_link, (SELECT count(*) FROM e) AS edited, len(v) AS samples, v[len(v) // 2 + 1] AS median, v[len(v) // 4 + 1] AS p25, v[3 * len(v) // 4 + 1] AS p75 FROM v""",
+    "fastest_sales": _with(_MSGS, _SOLD) + " SELECT channel, sold_id, 1 AS listing_id, days AS days_to_sell FROM sold ORDER BY days, channel, sold_id LIMIT 5",
+    "sales_coverage": _with(_MSGS, _SOLD) + " SELECT count(*) AS confirmed, (SELECT count(*) FROM msgs) AS unique_items, round(count(*) * 100.0 / (SELECT count(*) FROM msgs), 1) AS pct, CAST(count(DISTINCT channel) AS INT) AS channels FROM sold",
+    "card_sales": _with(_MSGS, _SOLD) + ", g AS (SELECT brand, CAST(channel % 40 AS VARCHAR) AS ref, count(*) AS sales_observed, list_sort(list(days)) AS v FROM sold GROUP BY ALL) SELECT brand, ref, sales_observed, CASE WHEN sales_observed >= 3 THEN len(v) END AS n, CASE WHEN sales_observed >= 3 THEN v[len(v) // 2 + 1] END AS median, CASE WHEN sales_observed >= 3 THEN v[len(v) // 4 + 1] END AS p25, CASE WHEN sales_observed >= 3 THEN v[3 * len(v) // 4 + 1] END AS p75 FROM g",
     "ref_cards": _with(_L, _GRAIN, _CARDS) + " SELECT * FROM cards",
     "card_monthly": _with(_L, _GRAIN) + " SELECT brand, card_key, date[1:7] AS month, CAST(trunc(median(price)) AS INT) AS median, count(*) AS n FROM grained GROUP BY ALL HAVING count(*) >= 3",
     "card_by_year": _with(_L, _GRAIN) + " SELECT brand, card_key, CAST(date[1:4] AS INT) - price % 3 AS year, CAST(trunc(median(price)) AS INT) AS median, count(*) AS n FROM grained WHERE recent GROUP BY ALL HAVING count(*) >= 3",

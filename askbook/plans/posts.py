@@ -96,6 +96,7 @@ SPARK = {
     "high_water": lambda s, d: messages.high_water(_versions(s, d)[0]),
     "incremental_scan": lambda s, d: messages.incremental(_versions(s, d)[0].withColumn("page", (F.lit(30) - F.col("message_id") % 31).cast("int")), messages.high_water(_versions(s, d)[0].where("message_id % 100 = 1"))).select("channel", "message_id", "page"),
     "event_windows": lambda s, d: ingest.event_windows(table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")),
+    "event_sessions": lambda s, d: ingest.sessions(table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "user_id", "n"),
     "drift": lambda s, d: checks.drift(table(s, d, "nation"), table(s, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 7 == 0, F.upper(F.reverse("n_name"))).otherwise(F.col("n_name"))), ["n_nationkey"]),
     "set_differences": lambda s, d: checks.set_differences(table(s, d, "customer").where("c_custkey % 3 = 0").select("c_nationkey"), table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))).groupBy("c_nationkey", "side").agg(F.count(F.lit(1)).alias("n")),
     "card_invariants": lambda s, d: checks.broken_cards(card_ops.cards(_M(s, d).grained, AS_OF, C), C),
@@ -134,6 +135,7 @@ SQL = {
     "high_water": f"WITH {_VERSIONS} SELECT channel, max(message_id) AS latest_id, min(message_id) AS oldest_id, count(*) AS total FROM held GROUP BY channel",
     "incremental_scan": f"WITH {_VERSIONS}, s AS (SELECT channel, max(message_id) AS latest FROM held WHERE message_id % 100 = 1 GROUP BY channel) SELECT channel, message_id, CAST(30 - message_id % 31 AS INT) AS page FROM held LEFT JOIN s USING (channel) WHERE 30 - message_id % 31 < 25 AND (30 - message_id % 31 < 3 OR message_id > coalesce(latest, -1))",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "event_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS \"end\", user_id, count(*) AS n FROM g GROUP BY user_id, k",
     "drift": "SELECT n_nationkey, 'n_name' AS path, n_name AS left_value, upper(reverse(n_name)) AS right_value FROM nation WHERE n_nationkey % 7 = 0 AND upper(reverse(n_name)) <> n_name ORDER BY n_nationkey LIMIT 40",
     "set_differences": "WITH a AS (SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT s_nationkey AS c_nationkey FROM supplier) SELECT c_nationkey, side, count(*) AS n FROM (SELECT c_nationkey, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT c_nationkey, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL",
     "card_invariants": _with(_L, _GRAIN, _CARDS) + " SELECT slug, 'fair range' AS rule FROM cards WHERE NOT (fair_low <= median AND median <= fair_high)",

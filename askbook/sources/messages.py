@@ -16,6 +16,11 @@ SCHEMA = T.StructType([
 ])
 
 
+def registry(spark: SparkSession, channels: dict[str, int]) -> DataFrame:
+    """channel, subscribers of the channels to read: configuration, a row for each."""
+    return spark.createDataFrame(sorted(channels.items()), "channel string, subscribers bigint")
+
+
 def write(messages: DataFrame, path: str) -> None:
     """Stored by month, clustered by channel, so date and channel predicates skip files."""
     messages.withColumn("month", F.substring("posted_at", 1, 7)).repartition("month", "channel").sortWithinPartitions("channel", "posted_at").write.mode("overwrite").partitionBy("month").parquet(path)
