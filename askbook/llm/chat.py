@@ -52,35 +52,42 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("bigint") + MARKS
 
 
-def _placed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns with ord (place in the conversation), before (tokens ahead of it) and sys_tokens; each conversation's first system turn."""
+def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """The turns with ord (place in the conversation), before (tokens ahead of it), cell, window, and the system turn to retain.
+
+    The system turn's text goes along only with turns that may begin a window, one of which a window's first turn is. Keys
+    without nulls (conv, null_conv, block) deal the turns out once for the sums within blocks and the join of the blocks' offsets.
+    """
     t = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NO_BLOCK)))
-    here = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    t = t.withColumn("n", F.row_number().over(here) - 1).withColumn("within", F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+    t = t.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("null_conv", F.col("conv_id").isNull())
+    conv = ["conv", "null_conv"]
+    here = Window.partitionBy(*conv, "block").orderBy("turn", "role", "text")
+    t = t.withColumn("n", F.row_number().over(here) - 1).withColumn("within", F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("last_tokens", F.lag("tokens").over(here))
     first = F.min(F.when(F.col("role") == "system", F.struct("n", "role", "text", "tokens")))
-    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("block_tokens"), F.count(F.lit(1)).alias("block_turns"), first.alias("system"))
-    along, whole = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("conv_id")
+    blocks = t.groupBy(*conv, "block").agg(F.sum("tokens").alias("block_tokens"), F.count(F.lit(1)).alias("block_turns"), first.alias("system"))
+    along, whole = Window.partitionBy(*conv).orderBy("block").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*conv)
     blocks = blocks.withColumn("tokens_before", F.sum("block_tokens").over(along) - F.col("block_tokens")).withColumn("turns_before", F.sum("block_turns").over(along) - F.col("block_turns"))
     system = F.when(F.col("system").isNotNull(), F.struct((F.col("turns_before") + F.col("system.n")).alias("ord"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.tokens").alias("tokens")))
-    blocks = blocks.withColumn("system", F.min(system).over(whole))
-    offsets = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "tokens_before", "turns_before", F.coalesce("system.tokens", F.lit(0)).alias("sys_tokens"))
-    placed = t.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-    placed = placed.select("conv_id", "role", "text", "tokens", (F.col("turns_before") + F.col("n")).alias("ord"), (F.col("tokens_before") + F.col("within")).alias("before"), "sys_tokens")
-    return placed, blocks.where(F.col("turns_before") == 0).select(F.col("conv_id").alias("c"), "system")
+    offsets = blocks.withColumn("system", F.min(system).over(whole)).select(*conv, "block", "tokens_before", "turns_before", "system")
+    placed = t.join(offsets, [*conv, "block"]).withColumn("ord", F.col("turns_before") + F.col("n")).withColumn("before", F.col("tokens_before") + F.col("within"))
+    cell = F.greatest(F.lit(history), F.floor((F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))) / 2))
+    placed = placed.withColumn("cell", cell).withColumn("window", F.floor(F.col("before") / F.col("cell")))
+    begins = F.col("last_tokens").isNull() | (F.floor((F.col("before") - F.col("last_tokens")) / F.col("cell")) < F.col("window"))
+    return placed.withColumn("system", F.when(begins, F.col("system"))).select(*conv, "conv_id", "role", "text", "ord", "before", "cell", "window", "system")
 
 
 def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
     """conv_id, window (rising, with gaps), first_turn, n_turns, n_repeated, formatted and loss_spans (start, length)."""
-    placed, systems = _placed(turns)
-    cell = F.greatest(F.lit(history), F.floor((F.lit(budget - history) - F.col("sys_tokens")) / 2))
-    dealt = placed.withColumn("cell", cell).withColumn("window", F.floor(F.col("before") / F.col("cell")))
+    dealt = _placed(turns, budget, history)
     near = F.col("before") >= (F.col("window") + 1) * F.col("cell") - history
     dealt = dealt.withColumn("again", F.explode(F.when(near, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     dealt = dealt.withColumn("window", F.col("window") + F.col("again").cast("bigint"))
     own = ~F.col("again")
-    windows = dealt.groupBy("conv_id", "window").agg(F.min(F.when(own, F.col("before"))).alias("begins"), F.min(F.when(own, F.col("ord"))).alias("first_turn"), F.sort_array(F.collect_list(F.struct("ord", "again", "before", "role", "text"))).alias("held"))
-    windows = windows.where("begins IS NOT NULL").join(systems, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    windows = dealt.groupBy("conv", "null_conv", "window").agg(
+        F.first("conv_id").alias("conv_id"), F.min(F.when(own, F.col("before"))).alias("begins"), F.min(F.when(own, F.col("ord"))).alias("first_turn"), F.max(F.when(own, F.col("system"))).alias("system"),
+        F.sort_array(F.collect_list(F.struct("ord", "again", "before", "role", "text"))).alias("held"),
+    ).where("begins IS NOT NULL")
     kept = F.filter("held", lambda x: ~x["again"] | (x["before"] >= F.col("begins") - history))
     windows = windows.withColumn("kept", F.transform(kept, lambda x: F.struct(x["ord"].alias("ord"), x["again"].alias("again"), x["role"].alias("role"), x["text"].alias("text"))))
     ahead = F.struct(F.col("system.ord").alias("ord"), F.lit(True).alias("again"), F.col("system.role").alias("role"), F.col("system.text").alias("text"))
