@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from askbook.llm._util import map_rows, replaced, ship, slices, with_fields
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 START, END_OF_WORD = 0, "</w>"
 UNKNOWN = regex.compile(r"\p{Cn}")
 # White space as Unicode has it: what the tokenizer's pattern means by \s.
@@ -40,7 +40,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}
 QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\t-\r \w]+(?:_+[^\t-\r \w]*)*|_+(?:[^\t-\r \w]+_*)*")
 NOT_LATIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 _COMPILED: dict[str, dict] = {}
-_OPENED: dict[int, "Automaton"] = {}
+_OPENED: dict[type, tuple[object, object]] = {}
 
 
 def byte_letters() -> list[str]:
@@ -95,7 +95,6 @@ def compile_merges(base: list[int], merges: list[tuple[int, int, int]], tokens:
 
 class Automaton:
     def __init__(self, spec: dict):
-        self.tokens: list[str] = spec["tokens"]
         self.inner: dict[bytes, int] = spec["inner"]
         self.last: dict[bytes, int] = spec["last"]
         self.special: dict[str, int] = spec["special"]
@@ -104,7 +103,7 @@ class Automaton:
         arcs = np.frombuffer(zlib.decompress(spec["arcs"]), np.uint8).reshape(-1, self.width).copy()
         for w, u in spec["merged"]:
             arcs[w] ^= arcs[u]
-        self.arcs: bytes = arcs.tobytes()
+        self.arcs = memoryview(arcs.reshape(-1))
         self.step: dict[int, int] = {}  # a tree of the tokens' bytes: node and byte to node
         self.inner_at, self.last_at = [-1], [-1]
         for tokens, at in ((self.inner, self.inner_at), (self.last, self.last_at)):
@@ -120,8 +119,6 @@ class Automaton:
         self.pattern = regex.compile(spec["pattern"])
         self.quick = QUICK if spec["pattern"] == SPLIT else None
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.labels = np.array([*self.tokens, ""], object)
-        self.complete = all(self.tokens)
         self.words: dict[str, list[int]] = {}
         self.path, self.lib, self.letters = spec["path"], None, {c: b for b, c in enumerate(byte_letters())}
 
@@ -188,12 +185,19 @@ class Automaton:
             self._plain(text, out)
         return out
 
+
+class Labels:
+    """The labels of an automaton's arcs."""
+
+    def __init__(self, tokens: list[str]):
+        self.labels, self.complete = np.array([*tokens, ""], object), all(tokens)
+
     def decode(self, ids: np.ndarray) -> str:
         """The labels of the arcs with these ids, joined as by a tokenizer without decoder."""
-        if self.complete and len(ids) and ids.min() >= 0 and ids.max() < len(self.tokens):
+        n = len(self.labels) - 1
+        if self.complete and len(ids) and ids.min() >= 0 and ids.max() < n:
             return " ".join(self.labels[ids].tolist())
-        known = ids[(ids >= 0) & (ids < len(self.tokens))]
-        return " ".join(x for x in self.labels[known].tolist() if x)
+        return " ".join(x for x in self.labels[ids[(ids >= 0) & (ids < n)]].tolist() if x)
 
 
 def compiled(path: str) -> dict:
@@ -233,13 +237,13 @@ def compiled(path: str) -> dict:
     return _COMPILED[path]
 
 
-def _opened(shared: Broadcast) -> Automaton:
-    """The automaton of a broadcast, kept by the worker process from task to task."""
+def _opened(shared: Broadcast, kind: type) -> object:
+    """What the broadcast's value opens to, kept by the worker process from task to task."""
     value = shared.value
-    if id(value) not in _OPENED:
-        _OPENED.clear()
-        _OPENED[id(value)] = Automaton(value)
-    return _OPENED[id(value)]
+    held = _OPENED.get(kind)
+    if held is None or held[0] is not value:
+        held = _OPENED[kind] = (value, kind(value))
+    return held[1]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -249,7 +253,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
     shared = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _opened(shared)
+        automaton = _opened(shared, Automaton)
         for b in slices(batches, 256):
             ids = [automaton.encode(t) for t in b.column(b.schema.names.index(text)).to_pylist()]
             yield replaced(b, schema, {out: pa.array(ids, pa.list_(pa.int32()))})
@@ -261,13 +265,13 @@ def decode(rows: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decode
     """The rows with the text that their ids stand for, special tokens kept."""
     ship(rows.sparkSession)
     schema = with_fields(rows.schema, (out, "string"))
-    shared = rows.sparkSession.sparkContext.broadcast(compiled(tokenizer))
+    shared = rows.sparkSession.sparkContext.broadcast(compiled(tokenizer)["tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _opened(shared)
+        labels = _opened(shared, Labels)
         for b in slices(batches, 256):
             held = b.column(b.schema.names.index(ids))
-            texts = [automaton.decode(np.asarray(x.values.drop_null() if x.values.null_count else x.values)) if x.is_valid else None for x in held]
+            texts = [labels.decode(np.asarray(x.values.drop_null() if x.values.null_count else x.values)) if x.is_valid else None for x in held]
             yield replaced(b, schema, {out: pa.array(texts, pa.string())})
 
     return map_rows(rows, run, schema)
