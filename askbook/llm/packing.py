@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askbook.llm._util import map_rows, slices
+from askbook.llm.bpe import byte_letters
 
 SENTENCE_COST, INSIDE_COST, STRIDE = 8, 12, 8
 BLOCK_IDS = 1 << 20
@@ -36,13 +37,6 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _LOADED: dict[str, tuple[Callable[[str], np.ndarray], np.ndarray]] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write bytes: printable ones themselves, others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def load(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     """An encoder for a byte-level BPE tokenizer file, and for each id whether it ends a sentence.
 
@@ -53,7 +47,7 @@ def load(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
         return _LOADED[path]
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    letters, vocab, merges = byte_letters(), spec["model"]["vocab"], spec["model"]["merges"]
+    letters, vocab, merges = {c: b for b, c in enumerate(byte_letters())}, spec["model"]["vocab"], spec["model"]["merges"]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     raw = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
