@@ -91,19 +91,19 @@ def _subframes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(rows):
             continue
         r = diffs[o][rows]
-        u = np.zeros((len(rows), x.shape[1]), np.int64)  # the warm-up stays zero
+        u = np.zeros((len(rows), x.shape[1]), np.int32)  # the warm-up stays zero
         u[:, o:] = (r << 1) ^ (r >> 31)
         per = u.reshape(len(rows), PARTITIONS, part)
-        mean = per.sum(2) / part
+        mean = per.sum(2, dtype=np.int64) / part
         k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
-        ks = np.repeat(k, part, axis=1)
+        ks = np.repeat(k.astype(np.int32), part, axis=1)
         q = u >> ks
         length = q + 1 + ks
         length[:, ::part] += 4
         length[:, :o] = 0
         length[:, 0] += 4 * (o > 0)
-        end = np.cumsum(length, axis=1) + 8 + 8 * o + 6
-        bits = end[:, -1]
+        end = np.cumsum(length, axis=1, dtype=np.int32) + np.int32(8 + 8 * o + 6)
+        bits = end[:, -1].astype(np.int64)
         big = bits >= 8 * x.shape[1]
         plain[rows[big]] = True
         keep = ~big
@@ -125,12 +125,14 @@ def _subframes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for p in range(PARTITIONS):
             first = o if p == 0 else p * part
             put(base + end[:, first] - (q[:, first] + 1 + k[:, p]) - 4, k[:, p], 4)
-        stop = (base[:, None] + end - ks - 1)[:, o:]
-        out[stop.ravel()] = 1
-        flat_u, flat_k, flat_stop = u[:, o:].ravel(), ks[:, o:].ravel(), stop.ravel()
-        for j in range(int(k.max())):
-            on = (flat_k > j) & ((flat_u >> np.maximum(flat_k - 1 - j, 0)) & 1 == 1)
-            out[flat_stop[on] + 1 + j] = 1
+        stop = (base[:, None] + (end - ks - 1))[:, o:].ravel()
+        out[stop] = 1
+        flat_u, flat_k = u[:, o:].ravel(), ks[:, o:].ravel()
+        for width in np.unique(k).tolist():
+            own = np.flatnonzero(flat_k == width)
+            at, value = stop[own], flat_u[own]
+            for j in range(width):
+                out[at + (1 + j)] = (value >> (width - 1 - j)) & 1
         size[rows] = bytes_
         chunks.append((rows, bytes_, np.packbits(out)))
     rows = np.flatnonzero(constant)
