@@ -62,19 +62,18 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     t = t.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NO_BLOCK)))
     t = t.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("null_conv", F.col("conv_id").isNull())
     conv = ["conv", "null_conv"]
-    here = Window.partitionBy(*conv, "block").orderBy("turn", "role", "text")
-    t = t.withColumn("n", F.row_number().over(here) - 1).withColumn("within", F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("last_tokens", F.lag("tokens").over(here))
-    first = F.min(F.when(F.col("role") == "system", F.struct("n", "role", "text", "tokens")))
+    # Blocks are summed before they are dealt out, beside the turns themselves.
+    first = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text", "tokens")))
     blocks = t.groupBy(*conv, "block").agg(F.sum("tokens").alias("block_tokens"), F.count(F.lit(1)).alias("block_turns"), first.alias("system"))
     along, whole = Window.partitionBy(*conv).orderBy("block").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*conv)
-    blocks = blocks.withColumn("tokens_before", F.sum("block_tokens").over(along) - F.col("block_tokens")).withColumn("turns_before", F.sum("block_turns").over(along) - F.col("block_turns"))
-    system = F.when(F.col("system").isNotNull(), F.struct((F.col("turns_before") + F.col("system.n")).alias("ord"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.tokens").alias("tokens")))
-    offsets = blocks.withColumn("system", F.min(system).over(whole)).select(*conv, "block", "tokens_before", "turns_before", "system")
+    offsets = blocks.select(*conv, "block", (F.sum("block_tokens").over(along) - F.col("block_tokens")).alias("tokens_before"), (F.sum("block_turns").over(along) - F.col("block_turns")).alias("turns_before"), F.min("system").over(whole).alias("system"))
+    here = Window.partitionBy(*conv, "block").orderBy("turn", "role", "text")
+    t = t.withColumn("n", F.row_number().over(here) - 1).withColumn("within", F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).withColumn("last_tokens", F.lag("tokens").over(here))
     placed = t.join(offsets, [*conv, "block"]).withColumn("ord", F.col("turns_before") + F.col("n")).withColumn("before", F.col("tokens_before") + F.col("within"))
     cell = F.greatest(F.lit(history), F.floor((F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))) / 2))
     placed = placed.withColumn("cell", cell).withColumn("window", F.floor(F.col("before") / F.col("cell")))
     begins = F.col("last_tokens").isNull() | (F.floor((F.col("before") - F.col("last_tokens")) / F.col("cell")) < F.col("window"))
-    return placed.withColumn("system", F.when(begins, F.col("system"))).select(*conv, "conv_id", "role", "text", "ord", "before", "cell", "window", "system")
+    return placed.withColumn("system", F.when(begins, F.col("system"))).select(*conv, "conv_id", "turn", "role", "text", "ord", "before", "cell", "window", "system")
 
 
 def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
@@ -86,12 +85,14 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256) ->
     own = ~F.col("again")
     windows = dealt.groupBy("conv", "null_conv", "window").agg(
         F.first("conv_id").alias("conv_id"), F.min(F.when(own, F.col("before"))).alias("begins"), F.min(F.when(own, F.col("ord"))).alias("first_turn"), F.max(F.when(own, F.col("system"))).alias("system"),
-        F.sort_array(F.collect_list(F.struct("ord", "again", "before", "role", "text"))).alias("held"),
+        F.sort_array(F.collect_list(F.struct("ord", "again", "before", "turn", "role", "text"))).alias("held"),
     ).where("begins IS NOT NULL")
     kept = F.filter("held", lambda x: ~x["again"] | (x["before"] >= F.col("begins") - history))
-    windows = windows.withColumn("kept", F.transform(kept, lambda x: F.struct(x["ord"].alias("ord"), x["again"].alias("again"), x["role"].alias("role"), x["text"].alias("text"))))
-    ahead = F.struct(F.col("system.ord").alias("ord"), F.lit(True).alias("again"), F.col("system.role").alias("role"), F.col("system.text").alias("text"))
-    windows = windows.withColumn("kept", F.when(F.col("system.ord") < F.col("kept")[0]["ord"], F.concat(F.array(ahead), "kept")).otherwise(F.col("kept")))
+    windows = windows.withColumn("kept", F.transform(kept, lambda x: F.struct(x["turn"].alias("turn"), x["again"].alias("again"), x["role"].alias("role"), x["text"].alias("text"))))
+    place = lambda x: F.struct(x["turn"], x["role"], x["text"])
+    ahead = F.struct(F.col("system.turn").alias("turn"), F.lit(True).alias("again"), F.col("system.role").alias("role"), F.col("system.text").alias("text"))
+    earlier = F.col("system").isNotNull() & (place(F.col("system")) < place(F.col("kept")[0]))
+    windows = windows.withColumn("kept", F.when(earlier, F.concat(F.array(ahead), "kept")).otherwise(F.col("kept")))
     written = F.transform("kept", lambda x: F.struct(F.concat(F.lit("### "), escape_role(x["role"]), F.lit(": ")).alias("head"), escape(x["text"]).alias("body"), (~x["again"] & (x["role"] == "assistant")).alias("loss")))
     windows = windows.withColumn("written", written)
     spans = F.expr(f"""
