@@ -117,8 +117,10 @@ class Search:
             if slack:
                 upper += np.abs(upper) * 2.0**-45
             kth = self.kth[own]
-            if upper.shape[1] > self.k:  # the (k+1)th lower bound, as one row may be the query's own
-                kth = np.maximum(kth, np.partition(corner, upper.shape[1] - self.k - 1, axis=1)[:, upper.shape[1] - self.k - 1] + self.below[own] - 3 * slack)
+            if upper.shape[1] >= self.k:  # the kth lower bound of rows of other ids
+                others = np.where(self.ids[own, None] == vec_ids, -np.inf, corner)
+                others.partition(upper.shape[1] - self.k, axis=1)
+                kth = np.maximum(kth, others[:, upper.shape[1] - self.k] + self.below[own] - 3 * slack)
             may = upper >= kth[:, None]
             self.seen += may.size
             for q in np.flatnonzero(may.any(1)).tolist():

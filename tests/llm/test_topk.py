@@ -37,6 +37,15 @@ def test_matches_brute_force(spark, monkeypatch, seed, block, sample):
     assert sorted(map(tuple, got.collect())) == plain(data, 5)
 
 
+@pytest.mark.parametrize("copies", [6, 12])
+def test_many_rows_of_the_query_take_no_others_place(spark, copies):
+    r = random.Random(copies)
+    data = [(i, [r.gauss(0, 0.1) for _ in range(16)]) for i in range(300)]
+    data += [(i, [x * 1.01 for x in data[i][1]]) for i in range(0, 300, 3) for _ in range(copies)]
+    got = K.top_k(spark.createDataFrame(data, "vec_id bigint, embedding array<double>").coalesce(1), F.col("vec_id") % 3 == 0)
+    assert sorted(map(tuple, got.collect())) == plain(data, 5)
+
+
 def test_few_rows_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert K.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 3 == 0).count() == 0
