@@ -16,9 +16,11 @@ added are replaced. Rows with a null doc_id are scored and not held out.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,12 @@ def word_vectors(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarra
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+@lru_cache(1)
+def letter_kinds() -> np.ndarray:
+    """For each code point 1 if it is a letter, and 2 more if it is a capital."""
+    return np.array([c.isalpha() + 2 * c.isupper() for c in map(chr, range(sys.maxunicode + 1))], np.uint8)
+
+
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     """Mean, deviation, mean product of neighbours, shapes."""
     words = WORD.findall((text or "").lower())
@@ -104,11 +112,11 @@ def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
         out[2 * DIM : 3 * DIM] = (v[1:] * v[:-1]).mean(0)
     n, size = len(words), len(text)
     lines = text.count("\n") + 1
-    letters = [c.isalpha() for c in text[:: max(1, size // 2000)]]
-    capitals = [c.isupper() for c in text[:: max(1, size // 2000)]]
+    kinds = letter_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letters, capitals = np.count_nonzero(kinds & 1), np.count_nonzero(kinds & 2)
     out[3 * DIM :] = (
         len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(not w[0].isalnum() for w in words) / n, sum(w[0].isdigit() for w in words) / n,
-        sum(map(len, words)) / n / 10, sum(letters) / max(1, len(letters)), sum(capitals) / max(1, len(capitals)), np.log1p(n) / 10 + lines / size * 0.1,
+        sum(map(len, words)) / n / 10, letters / size, capitals / size, np.log1p(n) / 10 + lines / size * 0.1,
     )
     return out
 

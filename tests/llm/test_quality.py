@@ -40,6 +40,14 @@ def test_contexts_by_brute_force(spark):
         assert np.allclose(want[k], got.get(k, 0))
 
 
+def test_letters_and_capitals_of_the_whole_text():
+    r = random.Random(4)
+    for text in ["A", "aB1 é²Ⓐǅ漢🙂", "x" * 1999 + "AB" + "x" * 9000, "A234 " * 4000, "".join(chr(r.choice([r.randint(32, 0x2FFF), r.randint(0x10000, 0x1FFFF)])) for _ in range(9000))]:
+        got = Q.pooled(text, np.ones((64, Q.DIM), np.float32))[3 * Q.DIM + 5 : 3 * Q.DIM + 7]
+        want = [sum(map(str.isalpha, text)) / len(text), sum(map(str.isupper, text)) / len(text)]
+        assert got.tolist() == np.array(want, np.float32).tolist()
+
+
 def test_learns_and_holds_out(spark):
     docs, labels, good = corpus(1200)
     extra = [(9001, None), (9002, ""), (None, "ta ri mo en"), (9003, "ta ri mo ul " * 30000), (3, docs[3][1])]
