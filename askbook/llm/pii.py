@@ -7,6 +7,7 @@ ones of a space get unequal ones (distinctness), and none is its own surrogate.
 (Luhn digits, IBAN remainders, address classes), the cycle is followed until the surrogate passes or fails it as the original
 does, which keeps the mapping one to one. Names of the lists go to names of the same list, hence of the same gender and script;
 other name parts keep their script, capitals, and pattern of vowels and consonants, ending included, and never become a listed name.
+Parts of one or two letters are replaced where a title or a listed first name tells them, longer ones at every mention.
 Mentions keep their own separators and capitals. Within a document the table of surrogates is checked for two entities
 under one surrogate, and the later one moves on along its cycle; `collisions` checks a whole corpus's mentions.
 
@@ -290,19 +291,28 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add("phone", PHONE)
         add("card", CARD)
     people: set[str] = set()
+    short: set[tuple[int, int]] = set()  # parts of one or two letters, often words too: only where a title or first name tells
+
+    def person(part: str, at: int) -> None:
+        if len(part) > 2:
+            people.add(part)
+        else:
+            short.add((at, at + len(part)))
+
     for m in TITLED.finditer(text):
         at = m.start("name")
         for w in m["name"].split(" "):
             if not w[:1].isupper():
                 break
-            people.add(w)
+            person(w, at)
             at += len(w) + 1
     for m in CAPITALS.finditer(text):
         if m["first"].lower() in LISTED:
-            people.update((m["first"], m["last"]))
-    for w in sorted(people, key=len, reverse=True):
-        if len(w) > 2:  # every later mention of a part, too, so that what belongs together stays together
-            add("name", re.compile(rf"(?<!\w){re.escape(w)}(?!\w)"))
+            person(m["first"], m.start("first"))
+            person(m["last"], m.start("last"))
+    for w in sorted(people, key=len, reverse=True):  # every later mention of a part, too, so that what belongs together stays together
+        add("name", re.compile(rf"(?<!\w){re.escape(w)}(?!\w)"))
+    out.extend((a, b, "name") for a, b in short if "\0" not in rest[a:b])
     return sorted(out)
 
 

@@ -93,6 +93,20 @@ def test_names_keep_gender_script_and_mentions():
     assert len(made) == len(words) and not any(m.lower() in P.LISTED for m in made)
 
 
+@pytest.mark.parametrize("text,names", [("Mr. Li left", ["Li"]), ("Dr Wu, Ms Xu. Mr Ng.", ["Wu", "Xu", "Ng"]), ("Anna Li wrote", ["Anna", "Li"]), ("Mr. J Li Smith", ["J", "Li", "Smith"]), ("Mrs WU", ["WU"])])
+def test_short_names_are_replaced_where_they_are_told(text, names):
+    new, told = P.replace(text, S)
+    assert [text[a:b] for a, b, _ in P.find(text)] == names and [t["kind"] for t in told] == ["name"] * len(names)
+    assert not set(re.findall(r"\w+", new)) & set(names)
+    assert all(new[t["start"] : t["start"] + t["length"]] == t["surrogate"] for t in told)
+
+
+def test_short_names_are_not_spread():
+    new, told = P.replace("So Dr. So came. So what, Mr So?", S)
+    assert len(told) == 2 and told[0]["surrogate"] == told[1]["surrogate"] != "So"
+    assert new.startswith("So Dr. ") and " came. So what, Mr " in new
+
+
 def test_neighbours_are_told_apart():
     text = "x +1 (826) 555-4081 190.137.223.20 4582016748928821 q@z.org,10.0.0.1 +1 (826) 555-4082 4111 1111 1111 1111"
     new, told = P.replace(text, S)
