@@ -9,7 +9,8 @@ does, which keeps the mapping one to one. Names of the lists go to names of the
 other name parts keep their script, capitals, and pattern of vowels and consonants, ending included, and never become a listed name.
 Parts of one or two letters are replaced where a title or a listed first name tells them, longer ones at every mention.
 Mentions keep their own separators and capitals. Within a document the table of surrogates is checked for two entities
-under one surrogate, and the later one moves on along its cycle; `collisions` checks a whole corpus's mentions.
+under one surrogate, and the later one moves on along its cycle while the space lasts; `collisions` checks a whole corpus's
+mentions. Surrogates of names have no accents, so an accented name's may be another name's in another document.
 
 Null text stays null and empty text empty, with no entities. Input columns of the names that are added are replaced.
 """
@@ -329,18 +330,25 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[dict]]:
         return text, []
     taken: dict[tuple[str, str], str] = {}
     chosen: dict[tuple[str, str], int] = {}
+
+    def apart(kind: str, mention: str) -> str:
+        make, who = getattr(surrogates, kind), canonical(kind, mention)
+        steps = chosen.get((kind, who), 1)
+        made = first = make(mention, steps)
+        while canonical(kind, made) == who or taken.get((kind, canonical(kind, made)), who) != who:  # another entity's surrogate: go on along the cycle
+            steps += 1
+            made = make(mention, steps)
+            if made == first:  # all are taken
+                break
+        chosen[kind, who] = steps
+        taken.setdefault((kind, canonical(kind, made)), who)
+        return made
+
     out, told, at, size = [], [], 0, 0
     for a, b, kind in spans:
         mention = text[a:b]
         who = canonical(kind, mention)
-        make = getattr(surrogates, kind)
-        made = "-".join("'".join(make(p) for p in half.split("'")) for half in mention.split("-")) if kind == "name" else make(mention, chosen.get((kind, who), 1))
-        if kind != "name":
-            steps = chosen.get((kind, who), 1)
-            while taken.setdefault((kind, canonical(kind, made)), who) != who:  # another entity's surrogate: go on along the cycle
-                steps += 1
-                made = make(mention, steps)
-            chosen[kind, who] = steps
+        made = "-".join("'".join(apart(kind, p) for p in half.split("'")) for half in mention.split("-")) if kind == "name" else apart(kind, mention)
         out += [text[at:a], made]
         size += a - at
         told.append({"kind": kind, "start": size, "length": len(made), "surrogate": made, "tag": hashlib.blake2b(f"{kind}|{who}".encode(), key=surrogates.key, digest_size=16).hexdigest()})

@@ -107,6 +107,15 @@ def test_short_names_are_not_spread():
     assert new.startswith("So Dr. ") and " came. So what, Mr " in new
 
 
+def test_names_that_differ_in_accents_are_told_apart():
+    new, told = P.replace("Mr. Núñez, Mr. Nuñez, Mr. Nunez. Núñez", S)
+    made = [t["surrogate"] for t in told]
+    assert len(made) == 4 and len(set(made)) == 3 and made[0] == made[3]
+    text = ", ".join(f"Mr {c}" for c in "AÁÀÂÄÃÅĀ")  # more than the five surrogates there are
+    new, told = P.replace(text, S)
+    assert len(told) == 8 and len({t["surrogate"] for t in told}) == 5
+
+
 def test_neighbours_are_told_apart():
     text = "x +1 (826) 555-4081 190.137.223.20 4582016748928821 q@z.org,10.0.0.1 +1 (826) 555-4082 4111 1111 1111 1111"
     new, told = P.replace(text, S)
