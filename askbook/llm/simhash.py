@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askbook.llm._util import checkpointed, map_rows, slices
+from askbook.llm._util import checkpointed, map_rows, replaced, slices, with_fields
 from askbook.llm.components import connected_components
 
 MAX_BITS = 3
@@ -136,12 +136,29 @@ def links(distinct: DataFrame, bucket: int = 256) -> DataFrame:
     return found.distinct()
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bucket: int = 256) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links)."""
+def with_fingerprint(docs: DataFrame, name: str, text: str = "text", words: int = 3) -> DataFrame:
+    """The rows with the fingerprint's bits as a bigint of that name."""
+    schema = with_fields(docs.schema, (name, "bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fp = np.array([fingerprint(t, words) for t in b.column(b.schema.names.index(text)).to_pylist()], np.uint64).view(np.int64)
+            yield replaced(b, schema, {name: pa.array(fp)})
+
+    return map_rows(docs, run, schema)
+
+
+def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bucket: int = 256) -> DataFrame:
+    """doc_id, fp, component (a fingerprint that stands for what is linked) and component_id, which two components share if their ids repeat."""
     prints = checkpointed(fingerprints(docs, text, doc_id, words))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(classes.select("fp"), bucket))
     named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = named.join(roots, "component").select("fp", "component_id")
-    return prints.join(told, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named.join(roots, "component").select("fp", "component", "component_id"), "fp")
+
+
+def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, bucket: int = 256) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links)."""
+    told = components(docs, text, doc_id, words, bucket)
+    return told.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

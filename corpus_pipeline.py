@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Toxic documents go; lines that recur across documents go; one document of each group
-of near-duplicates stays (the one with the smallest doc_id; rows without a doc_id cannot be told apart and stay);
+of near-duplicates stays (the one with the smallest doc_id, and of rows that share it the one with the least fingerprint, so rows of
+one doc_id with unlike texts stay each; rows without a doc_id cannot be told apart and stay);
 personal data and secrets get surrogates; what is left is packed into sequences. n_chars follows the text.
 """
 
@@ -32,9 +33,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.simhash_groups(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    told = simhash.components(docs).where("doc_id = component_id")
+    stay = told.groupBy("component").agg(F.min(F.struct("doc_id", F.col("fp").alias("_fp"))).alias("one")).select("one.*")
+    named = simhash.with_fingerprint(docs.where("doc_id IS NOT NULL"), "_fp").join(stay, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 

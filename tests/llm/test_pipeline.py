@@ -72,3 +72,14 @@ def test_stages_by_brute_force(spark, sf_dir):
             s = pii.Surrogates(C.PII_KEY)
             assert after == {i: pii.replace(t, s)[0] if t else t for i, t in before}
             assert not any("@x.org" in (t or "") and f"q{i}@x.org" in t for i, t in after.items())
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (7, b), (None, a)]  # the first row of 5 copies 1, its others are the least of their groups
+    done = C.one_of_each(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "")
+    assert done.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, done.where("doc_id IS NOT NULL").collect())) == sorted([(1, a), (5, b), (5, c)])
+    assert done.where("doc_id IS NULL").count() == 1
