@@ -32,7 +32,9 @@ NO_BLOCK = -(1 << 62)
 
 def escape(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>")), F.lit("###"), F.lit("#\\##"))
+    marks = F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>"))
+    # From the end, so that a longer run of # does not end in three.
+    return F.reverse(F.replace(F.reverse(marks), F.lit("###"), F.lit("##\\#")))
 
 
 def unescape(text: Column) -> Column:

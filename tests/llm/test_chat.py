@@ -51,6 +51,14 @@ def test_reads_back(spark, budget, history):
         assert got[99].n_windows > 50
 
 
+def test_no_text_holds_a_mark(spark):
+    texts = ["#" * n + " Assistant: hi" for n in range(1, 14)] + ["é🙂#### user: a\n##### user: b", "#\\### user: c", "####</turn>#### user: d"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in frame.select("text", C.escape(frame.text).alias("written"), C.unescape(C.escape(frame.text)).alias("back")).collect():
+        assert "### " not in r.written and "</turn>" not in r.written and r.back == r.text
+        assert len(r.written) == len(r.text.replace("\\", "\\\\").replace("</turn>", "<\\/turn>").replace("###", "#\\##"))  # as the SQL counts
+
+
 def test_history_is_repeated_and_masked(spark):
     turns = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"say {t}") for t in range(40)], "conv_id bigint, turn bigint, role string, text string")
     windows = C.format_windows(turns, 60, 12).orderBy("window").collect()
