@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from askbook.functions import rules as R
 
 
-def _nfkc_series(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
-
-
 def nfkc(text: Column) -> Column:
-    """Compatibility forms folded. Spark has no function for it: text of ASCII alone does not reach Python.
+    """Compatibility forms folded. Spark has no function for it; of text of ASCII alone no more than a null is sent to Python.
 
-    As a Python function it cannot stand inside the expressions below, which take folded text as `plain`.
+    As a Python function it cannot stand inside the expressions below, which take folded text as `plain`. It is sent by value
+    and needs nothing but the standard library, so workers don't need this package for it.
     """
-    fold = F.pandas_udf(_nfkc_series, "string")
-    return F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+    def fold(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return F.coalesce(F.pandas_udf(fold, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def _java(pattern: str) -> str:

@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from askbook.shipping import ship
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PREFIX = "tgme_widget_message"
 
@@ -114,6 +116,7 @@ def parse_messages(pages: DataFrame, compat: bool = False) -> DataFrame:
             kinds = {"message_id": "Int64", "photos_count": "Int32", "views": "Int64", "reply_to": "Int64"}
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MESSAGES.split(", ")]).astype(kinds)
 
+    ship(pages.sparkSession)
     return pages.select("channel", "html").mapInPandas(run, MESSAGES)
 
 
@@ -129,6 +132,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 rows.append((i, title, [e.attrs["href"] for e in every if e.tag == "a" and e.attrs.get("href")], sum(e.tag == "p" for e in every)))
             yield pd.DataFrame(rows, columns=["page_id", "title", "links", "paragraphs"])
 
+    ship(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, title string, links array<string>, paragraphs int")
 
 
@@ -148,6 +152,7 @@ def read_channel_pages(fetch, channels: DataFrame, max_pages: int) -> DataFrame:
                         break
                     before = int(m[1])
 
+    ship(channels.sparkSession)
     return channels.select("channel").mapInPandas(run, "channel string, page int, html string")
 
 
@@ -165,4 +170,5 @@ def probe_links(listings: DataFrame, check) -> DataFrame:
                     out.append(True)
             yield pd.DataFrame({"id": f["id"], "alive": out})
 
+    ship(listings.sparkSession)
     return listings.select("id", "url").mapInPandas(run, "id string, alive boolean")
