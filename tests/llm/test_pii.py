@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from hypothesis import strategies as st
 from askbook.llm import pii as P
 
 S = P.Surrogates(b"test key")
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("n", [2, 3, 10, 44, 1000])
@@ -81,9 +84,9 @@ def test_names_keep_gender_script_and_mentions():
     new, told = P.replace(text, S)
     by = {}
     for t in told:
-        by.setdefault(t["tag"], set()).add(t["surrogate"])
+        by.setdefault(t["tag"], set()).add(t["surrogate"].lower())  # EMMA is a mention of Emma, in capitals
     assert all(len(x) == 1 for x in by.values())
-    assert "Emma" not in new and "Kowalski" not in new and "Petrov" not in new and "Иванов" not in new
+    assert "EMMA" not in new and "Emma" not in new and "Kowalski" not in new and "Petrov" not in new and "Иванов" not in new
     first = new.split()[1]
     assert first in P.NAMES["latin", "f"] and first != "Emma"
     assert new.split()[4] in P.NAMES["latin", "m"]
@@ -111,9 +114,75 @@ def test_names_that_differ_in_accents_are_told_apart():
     new, told = P.replace("Mr. Núñez, Mr. Nuñez, Mr. Nunez. Núñez", S)
     made = [t["surrogate"] for t in told]
     assert len(made) == 4 and len(set(made)) == 3 and made[0] == made[3]
-    text = ", ".join(f"Mr {c}" for c in "AÁÀÂÄÃÅĀ")  # more than the five surrogates there are
+    new, told = P.replace(", ".join(f"Mr {c}" for c in "AÁÀÂÄÃÅĀ"), S)
+    assert len(told) == len({t["surrogate"] for t in told}) == 8
+    assert len({S.name(n) for n in ("Müller", "Mùller", "Muller", "Møller", "Møllér")}) == 5
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Dr Smith met Dr Jones.", "Smith Jones"), ("Mr Smith and Mr Jones", "Smith Jones"), ("Contact John Smith and Mary Jones", "John Smith Mary Jones"), ("Mr Li called.", "Li"), ("Dr Wu said hi", "Wu"),
+    ("Mr Ng left, and Ng wrote", "Ng Ng"), ("Frau Øø", "Øø"), ("Aisha Khan", "Aisha Khan"), ("Mrs Brown saw Mr Green, then Mr White called Ms Black.", "Brown Green White Black"),
+    ("Herr von Braun und Frau de la Cruz", "Braun Cruz"), ("John Q. Smith's boat; SMITH, Smith-Roe", "John Q Smith SMITH Smith"), ("José Núñez", "José Núñez"), ("Regards,\nZorba Kanth", "Zorba Kanth"),
+    ("write z.kanth@x.org to Zorba Kanth of the Old Mill", "Zorba Kanth"), ("Κύριος Mr Παπαδόπουλος", "Παπαδόπουλος"), ("Prof. Dr. Łukasz Żółć", "Łukasz Żółć"), ("Dr 王小明 came", "王小明"), ("Dr. Գրիգոր Mr Ծ", "Գրիգոր Ծ"),
+])
+def test_people_are_found_and_told_apart(text, names):
     new, told = P.replace(text, S)
-    assert len(told) == 8 and len({t["surrogate"] for t in told}) == 5
+    assert [text[a:b] for a, b, k in P.find(text) if k == "name"] == names.split()
+    by = {}
+    for (a, b, k), t in zip(P.find(text), told):
+        by.setdefault((k, P.canonical(k, text[a:b])), set()).add(P.canonical(k, t["surrogate"]))
+        assert P.canonical(k, text[a:b]) not in by[k, P.canonical(k, text[a:b])]
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+@pytest.mark.parametrize("text", ["Ask The The and Of Of", "contact Old Mill, the old mill", "by PUBLIC LICENSE", "4582016748928822 and 9807915762804490", "So Dr. met so"])
+def test_look_alikes_stay(text):
+    assert P.replace(text, S) == (text, [])
+
+
+def test_more_given_names():
+    assert P.replace("Quillon Marsh wrote", S)[1] == []
+    assert len(P.replace("Quillon Marsh wrote", S, frozenset({"quillon"}))[1]) == 2
+
+
+def test_many_people_take_linear_time():
+    text = lambda n: " ".join(f"Mr {''.join(chr(97 + (i // 26**j * 7 + i) % 26) for j in range(4)).title()}q said" for i in range(n))
+    seconds = []
+    for n in (500, 4000):
+        began = time.perf_counter()
+        P.people(text(n))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0]
+
+
+def test_a_search_without_end_is_an_error(monkeypatch):
+    monkeypatch.setattr(P, "MOST_STEPS", 50)
+    with pytest.raises(RuntimeError):
+        P.spelled(b"k", "x", "0000000000", lambda i, c: P.DIGITS, lambda s: s == "0000000000")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_corpus_by_brute_force(spark):
+    """Over all documents and many made people: outside entities nothing changes, one entity has one surrogate, unlike ones have unlike ones."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text]
+    r = random.Random(5)
+    parts = ["".join(r.choices("aeiouäéø", k=1)[0] + r.choices("bdklmnrst", k=1)[0] for _ in range(r.randint(1, 4))).title() for _ in range(3000)]
+    texts += [f"Mr {a} {b} and Ms {b}-{a} of +44 20 7946 {i % 10000:04d}, +4420794{i % 100000:06d}, ask {a.lower()}{i % 50}@{b.lower().encode('ascii', 'ignore').decode() or 'x'}.org" for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+    to, back = {}, {}
+    for text in texts:
+        new, told = P.replace(text, S)
+        spans, at, end = P.find(text), 0, 0
+        assert len(spans) == len(told)
+        for (a, b, kind), t in zip(spans, told):
+            assert text[at:a] == new[end : t["start"]]
+            at, end = b, t["start"] + t["length"]
+            whole = [(text[a:b], t["surrogate"])] if kind != "name" else list(zip(P.INNER.split(text[a:b]), P.INNER.split(t["surrogate"])))
+            for own, made in whole:
+                own, made = P.canonical(kind, own), P.canonical(kind, made)
+                assert own != made
+                assert to.setdefault((kind, own), made) == made and back.setdefault((kind, made), own) == own
+        assert text[at:] == new[end:]
+    assert len(to) > 5000
 
 
 def test_neighbours_are_told_apart():
