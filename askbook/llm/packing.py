@@ -3,9 +3,10 @@
 Documents keep the order of their partition. Their ids, each document's followed by an end id, form
 one stream, which is cut into windows of at most `length` ids. Cuts may fall at document ends (free),
 at sentence ends (a small penalty) and, where a sentence runs long, inside it (a larger one). The cuts
-minimise padding plus penalties exactly: f(j) = penalty(j) + min over windows (i, j] of
+minimise padding plus penalties, exactly within each block of BLOCK_IDS ids that a task holds at a time: f(j) = penalty(j) + min over windows (i, j] of
 f(i) + length - (p(j) - p(i)), where the minimum over the window slides along and is kept in a
-monotone queue, so the work is linear in the number of places. The last, partial window of a partition
+monotone queue, so the work is linear in the number of places. With the default costs a cut inside a sentence costs little more than one at
+its end, and less than the padding it saves: little padding comes first, as the contract wants it. The last, partial window of a partition
 is split into powers of two, which need no padding.
 
 Nothing is shuffled: a partition is packed as it is read, a block of the stream at a time, and what
@@ -17,6 +18,7 @@ carried, so it may be null. An empty table gives no pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -32,6 +34,7 @@ from askbook.llm.bpe import byte_letters
 
 SENTENCE_COST, INSIDE_COST, STRIDE = 8, 12, 8
 BLOCK_IDS = 1 << 20
+LONG_SPACE = 20_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _LOADED: dict[str, tuple[Callable[[str], np.ndarray], np.ndarray]] = {}
@@ -41,7 +44,8 @@ def load(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     """An encoder for a byte-level BPE tokenizer file, and for each id whether it ends a sentence.
 
     Where ids are merge ranks, the file's vocabulary is run by tiktoken, which gives the same ids
-    several times as fast; otherwise the tokenizers library runs the file.
+    several times as fast; the tokenizers library runs the file otherwise, and for any text with white space
+    in a row of LONG_SPACE or more, on which tiktoken's pattern would run out of stack.
     """
     if path in _LOADED:
         return _LOADED[path]
@@ -54,18 +58,18 @@ def load(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     pre = spec["pre_tokenizer"] or {}
     ranked = sorted(raw.values()) == list(range(len(raw))) and [vocab[a + b] for a, b in pairs] == list(range(len(raw) - len(pairs), len(raw)))
     simple = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    encode = plain = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
     if ranked and simple:
         import tiktoken
 
         run = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=raw, special_tokens=special)
-        encode = lambda text: run.encode_to_numpy(text, allowed_special="all")
-    else:
-        from tokenizers import Tokenizer
-
-        run = Tokenizer.from_file(path)
-        run.no_truncation()
-        run.no_padding()
-        encode = lambda text: np.array(run.encode(text, add_special_tokens=False).ids, np.uint32)
+        spaced = re.compile(r"\s{%d}" % LONG_SPACE)
+        encode = lambda text: plain(text) if len(text) >= LONG_SPACE and spaced.search(text) else run.encode_to_numpy(text, allowed_special="all")
     ends = np.zeros(max([*raw.values(), *special.values(), 0]) + 1, bool)
     for token, i in raw.items():
         ends[i] = b"\n" in token or token.rstrip(b"\"')").endswith((b".", b"!", b"?"))

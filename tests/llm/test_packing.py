@@ -47,6 +47,18 @@ def test_encoder_is_the_librarys():
         assert encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "x" + " \t" * 300_000 + "y", "ab  \n" * 200_000, "é" * 300_000, "!1" * 300_000, "z" + " " * (P.LONG_SPACE - 1) + "z"])
+def test_very_long_runs(text):
+    from tokenizers import Tokenizer
+
+    assert P.load(PATH)[0](text).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_long_space(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "one")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.doc_tokens) for r in P.pack(docs, PATH).collect()} == {(1, len(P.load(PATH)[0](" " * 1_000_000)) + 1), (2, len(P.load(PATH)[0]("one")) + 1)}
+
+
 @pytest.mark.parametrize("block", [3000, 1 << 20])
 def test_pieces(spark, monkeypatch, block):
     monkeypatch.setattr(P, "BLOCK_IDS", block)
