@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -20,14 +22,34 @@ def brute_segments(s):
 @pytest.mark.parametrize("seed", range(60))
 def test_segments(seed):
     r = random.Random(seed)
-    s = np.array([r.choice([X.DEFAULT] * r.randint(1, 3) + [r.uniform(0.1, 4)]) for _ in range(r.randint(1, 40))])
-    at = np.flatnonzero(s > 0)
-    found = X.segments(s[at], at)
+    s = np.array([r.choice([r.uniform(-3, -0.2)] * r.randint(1, 3) + [r.uniform(0.1, 4)]) for _ in range(r.randint(1, 40))])
+    found = X.segments(s)
     assert sorted((a, b) for _, a, b in found) == brute_segments(s)
     for v, a, b in found:
         assert v == pytest.approx(s[a : b + 1].sum())
 
 
+@pytest.mark.parametrize("apart", [1, 2, 5])
+@pytest.mark.parametrize("slope", [-0.3, 0.0, 0.3])
+def test_scan_is_linear(apart, slope):
+    s = np.full(apart * 1_000_000, X.DEFAULT)
+    s[::apart] = apart - 1 + slope + np.linspace(0, 0.2, 1_000_000)
+    began = time.perf_counter()
+    X.segments(s)
+    assert time.perf_counter() - began < 30
+
+
+def test_log_odds_and_scores(spark):
+    rows = [(X.key("vile"), 30, 2), (X.key("mild"), 2, 60), (X.key("rare"), 3, 0), (X.key("even"), 10, 40), (X.key("once"), 0, 1), (0, 100, 400)]
+    got = {r.key: r.score for r in X.scores(spark.createDataFrame(rows, "key bigint, toxic bigint, other bigint"), 100, 400).collect()}
+
+    def ratio(t, o):
+        a, b = t + 10 * (t + o) / 500, o + 10 * (t + o) / 500
+        return math.log(a / (110 - a)) - math.log(b / (410 - b))
+
+    assert got == {X.key("vile"): pytest.approx(ratio(30, 2), rel=1e-5), X.key("mild"): pytest.approx(ratio(2, 60) + X.DEFAULT, rel=1e-5)}
+
+
 def corpus(n, seed=1):
     r = random.Random(seed)
     docs, labels = [], []
