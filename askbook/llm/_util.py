@@ -1,51 +1,45 @@
-"""What the operators of this subpackage share: shipping code, checkpoints, Arrow batches."""
+"""What the operators of this subpackage share: checkpoints, Arrow batches, names."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_SHIPPED: set[str] = set()
+from askbook.shipping import scratch, ship
 
-
-def _scratch() -> str:
-    """A folder of the driver that goes with its process."""
-    made = tempfile.mkdtemp(prefix="askbook-")
-    atexit.register(shutil.rmtree, made, True)
-    return made
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of any cluster, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = os.path.join(_scratch(), "askbook_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+__all__ = ["checkpointed", "free_name", "map_rows", "replaced", "ship", "slices", "with_fields"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder, so that no lineage hangs on lost executors."""
+    """The same rows, read back from the shared checkpoint folder, so that no lineage hangs on lost executors.
+
+    The folder is the one that spark.checkpoint.dir names. Without it a session within one process (local mode) gets a folder of its own; a
+    cluster is refused, since its executors would each write to a disk of their own.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _scratch())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not _one_process(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or scratch())
     return df.checkpoint(eager=True)
 
 
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores put ahead until no column has it."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package shipped first."""
     ship(df.sparkSession)

@@ -6,7 +6,8 @@ index vectors of the words up to two places away. Rows of these sums are scaled
 document is pooled into the mean and the deviation of its words' vectors, the mean product of
 neighbouring words' vectors, shares of kinds of words and its length. The network (one hidden layer,
 numpy, fixed seed) learns from at most `most_rows` labelled rows outside the held-out fold; a fifth
-of them sets the temperature by which its output becomes a probability.
+of them sets the temperature by which its output becomes a probability. Of rows that share an id in the sample one is learned from, so what
+reaches the driver is bounded by `most_rows`.
 
 All word statistics cover all documents. Null or empty texts pool to zeros and are scored so. If the learning rows
 lack one of the labels, every score is the share of label 1 (0.5 without rows). Input columns of the names that are
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: in
             x = [pooled(t, shared.value).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["id", "label", "x"])
 
-    got = map_rows(rows.select("_id", "_text", "_label"), run, "id bigint, label int, x binary").toPandas().sort_values(["id", "x"])
+    told = map_rows(rows.select("_id", "_text", "_label"), run, "id bigint, label int, x binary")
+    got = told.groupBy("id").agg(F.min(F.struct("label", "x")).alias("r")).select("id", "r.*").toPandas().sort_values("id")
     y = (got["label"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         network.constant = float(y.mean()) if len(y) else 0.5

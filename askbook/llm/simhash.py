@@ -31,6 +31,8 @@ from askbook.llm._util import checkpointed, map_rows, replaced, slices, with_fie
 from askbook.llm.components import connected_components
 
 MAX_BITS = 3
+#: Fingerprints to a task that makes their variants.
+FAN_OUT = 1 << 16
 #: The bits set in each value of a byte, least significant first.
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 BYTE_AT = np.arange(8) * 256
@@ -113,7 +115,9 @@ def _cut_again(crowded: DataFrame, width: int) -> DataFrame:
 
 def links(distinct: DataFrame, bucket: int = 256) -> DataFrame:
     """Links a, b among distinct fingerprints fp: enough of them to join all that are linked, directly or not."""
-    variants = _variants(distinct)
+    # Each row becomes 64: dealt out first, so that a few small files don't make a few large tasks.
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // FAN_OUT))
+    variants = _variants(distinct.repartition(tasks))
     stats = variants.groupBy("key").agg(F.first("seg_bit").alias("seg_bit"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("every")).where("n > 1")
     # Members that agree in the whole segment meet under each of its bits; the segment's first bit stands for all.
     stats = checkpointed(stats.where("seg_bit % 32 = 0 OR (shiftrightunsigned(some ^ every, seg_bit) & 1L) = 1"))
