@@ -66,6 +66,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_BUDGET, CHAT_HISTORY = 2048, 256
+CHAT_OWN = CHAT_BUDGET - CHAT_HISTORY
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,19 +89,20 @@ WITH turns AS (
       + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##')) AS chars
   FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), placed AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ord) - tokens AS before,
-    min(CASE WHEN role = 'system' THEN ord END) OVER (PARTITION BY conv_id) AS sys_ord FROM sized
+  SELECT *, sum(tokens) OVER w - tokens AS before, sum(CASE WHEN tokens > {CHAT_OWN // 2} THEN 0 ELSE tokens END) OVER w - CASE WHEN tokens > {CHAT_OWN // 2} THEN 0 ELSE tokens END AS small_before,
+    sum(CASE WHEN tokens > {CHAT_OWN // 2} THEN 1 ELSE 0 END) OVER w - CASE WHEN tokens > {CHAT_OWN // 2} THEN 1 ELSE 0 END AS larges_before, CASE WHEN tokens > {CHAT_OWN // 2} THEN 1 ELSE 0 END AS large,
+    coalesce(max(tokens) FILTER (WHERE tokens <= {CHAT_OWN // 2}) OVER (PARTITION BY conv_id), 0) AS most, min(CASE WHEN role = 'system' THEN ord END) OVER (PARTITION BY conv_id) AS sys_ord
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY ord)
 ), celled AS (
-  SELECT p.*, coalesce(s.tokens, 0) AS sys_tokens, coalesce(s.chars, 0) AS sys_chars,
-    greatest({CHAT_HISTORY}, ({CHAT_BUDGET - CHAT_HISTORY} - coalesce(s.tokens, 0)) // 2) AS cell
+  SELECT p.*, coalesce(s.tokens, 0) AS sys_tokens, coalesce(s.chars, 0) AS sys_chars, {CHAT_OWN} - coalesce(s.tokens, 0) - p.most AS room
   FROM placed p LEFT JOIN sized s ON s.conv_id = p.conv_id AND s.ord = p.sys_ord
-), windowed AS (SELECT *, before // cell AS win FROM celled),
+), windowed AS (SELECT *, CASE WHEN room < {CHAT_OWN // 8} THEN 2 * ord + 1 ELSE small_before // greatest(room, 1) + 2 * larges_before + large END AS win FROM celled),
 spans AS (
-  SELECT conv_id, win, min(before) AS begins, min(ord) AS first_ord, sum(chars) AS chars, any_value(sys_ord) AS sys_ord, any_value(sys_chars) AS sys_chars
+  SELECT conv_id, win, min(before) AS begins, min(ord) AS first_ord, sum(tokens) AS own, sum(chars) AS chars, any_value(sys_ord) AS sys_ord, any_value(sys_chars) AS sys_chars, any_value(sys_tokens) AS sys_tokens
   FROM windowed GROUP BY ALL
 ), again AS (
   SELECT s.conv_id, s.win, min(p.ord) AS first_ord, sum(p.chars) AS chars
-  FROM spans s JOIN windowed p ON p.conv_id = s.conv_id AND p.win = s.win - 1 AND p.before >= s.begins - {CHAT_HISTORY} GROUP BY ALL
+  FROM spans s JOIN windowed p ON p.conv_id = s.conv_id AND p.before < s.begins AND p.before >= s.begins - least({CHAT_HISTORY}, greatest(0, {CHAT_BUDGET} - s.sys_tokens - s.own)) GROUP BY ALL
 ), written AS (
   SELECT s.conv_id, count(*) AS n_windows, sum(s.chars + coalesce(a.chars, 0) + CASE WHEN s.sys_ord < coalesce(a.first_ord, s.first_ord) THEN s.sys_chars ELSE 0 END) AS formatted_chars
   FROM spans s LEFT JOIN again a USING (conv_id, win) GROUP BY ALL
