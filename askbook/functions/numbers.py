@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def array_median(values: Column) -> Column:
     """Interpolated median of an array; null if it is empty."""
-    s, n = F.array_sort(values), F.size(values)
+    s, n = F.sort_array(values), F.size(values)
     low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
     return F.when(n > 0, (F.try_element_at(s, low).cast("double") + F.try_element_at(s, high)) / 2)
 
 
 def nearest_rank(values: Column, numerator: int, denominator: int) -> Column:
     """Element n * numerator div denominator (from 0) of the sorted array: a quantile without interpolation."""
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     return F.try_element_at(s, (F.floor(F.size(values) * numerator / denominator) + 1).cast("int"))
 
 
@@ -27,7 +27,7 @@ def distribution(values: Column) -> Column:
 
 def position_quantile(values: Column, p: float) -> Column:
     """Element int(n * p) of the sorted array."""
-    return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) * F.lit(p)) + 1).cast("int"))
+    return F.try_element_at(F.sort_array(values), (F.floor(F.size(values) * F.lit(p)) + 1).cast("int"))
 
 
 def floor_days(start: Column, end: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askbook.config import DEFAULT, Config
-from askbook.functions.numbers import array_median
+from askbook.functions import pools
 from askbook.operators.units import UNIT
+from askbook.shipping import ship
 
 #: Observed dates that one task pools for one key; a common key's dates are spread over tasks.
 SPAN = 512
@@ -23,24 +29,53 @@ def date_index(listings: DataFrame) -> DataFrame:
 def rolling_medians(listings: DataFrame, dates: DataFrame, keys: list[str], width: int, least: int) -> DataFrame:
     """keys, i, n, median over each key's prices of the last `width` observed dates, where there are at least `least`.
 
-    Values are told for dates without a listing of the key, too, as long as the pool of the dates before holds enough. Only
-    dates with a pool are made: from each listed date to the next, or width - 1 further. Runs of SPAN dates are pooled apart, and
-    a run gets the dates before it that its pools reach back to, so all is done within one exchange by key and run.
+    Values are told for dates without a listing of the key, too, as long as the pool of the dates before holds enough. Prices
+    are counted by key and date first, so a pool is a histogram: what a task holds is as large as the price range, not as the listings are many.
+    Runs of SPAN dates are pooled apart, and a run gets the dates before it that its pools reach back to, so all is done within one
+    exchange by key and run, and no key is one task. Spark's windows would gather and sort each date's pool anew, in rows of arrays; here a
+    task slides one histogram along its run.
     """
+    ship(listings.sparkSession)
+    daily = listings.groupBy(*keys, "date", "price").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(dates), "date")  # dates: a row for each day
     run = F.floor(F.col("i") / SPAN)
     late = F.col("i") >= (run + 1) * SPAN - (width - 1)
-    dated = listings.join(dates, "date").select(*keys, "i", "last", "price")
-    dealt = dated.withColumn("run", F.explode(F.when(late, F.array(run, run + 1)).otherwise(F.array(run)))).repartition(*keys, "run")
-    daily = dealt.groupBy(*keys, "run", "i").agg(F.collect_list("price").alias("prices"), F.max("last").alias("last"))
-    order = Window.partitionBy(*keys, "run").orderBy("i")
-    until = F.least(F.col("i") + width - 1, (F.col("run") + 1) * SPAN - 1, F.col("last"), F.coalesce(F.lead("i").over(order) - 1, F.col("last")))
-    on = F.greatest(F.col("i") + 1, F.col("run") * SPAN)
-    later = F.when(F.col("until") >= on, F.sequence(on, F.col("until"))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    made = daily.withColumn("until", until).withColumn("at", F.explode(F.concat(F.array(F.col("i").cast("bigint")), later)))
-    rows = made.select(*keys, "run", F.col("at").alias("i"), F.when(F.col("at") == F.col("i"), F.col("prices")).alias("prices"))
-    pooled = rows.withColumn("pool", F.flatten(F.collect_list("prices").over(order.rangeBetween(-(width - 1), 0))))
-    told = pooled.where((F.col("i") >= F.col("run") * SPAN) & (F.size("pool") >= least))
-    return told.select(*keys, "i", F.size("pool").cast("bigint").alias("n"), array_median(F.col("pool")).alias("median"))
+    dealt = daily.withColumn("run", F.explode(F.when(late, F.array(run, run + 1)).otherwise(F.array(run)))).where(F.col("run") * SPAN <= F.col("last"))
+    # A group is told by 64 bits of its key and run, which sort faster than text.
+    ordered = dealt.repartition(*keys, "run").withColumn("group", F.xxhash64(*keys, "run")).sortWithinPartitions("group", "i", "price")
+    own = [listings.schema[k] for k in keys]
+    out = T.StructType([*own, T.StructField("i", T.LongType()), T.StructField("n", T.LongType()), T.StructField("median", T.DoubleType())])
+    told = ordered.select(*keys, "run", "i", "last", F.col("price").cast("double").alias("price"), "n", "group")
+    return told.mapInArrow(_slide(len(keys), width, least, SPAN), out)
+
+
+def _slide(n_keys: int, width: int, least: int, span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def told(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
+            run, i, last, price, n = (rows.column(n_keys + j).to_numpy() for j in range(5))
+            made = [pools.rolling(i[a:b], price[a:b], n[a:b], int(run[a]) * span, min((int(run[a]) + 1) * span - 1, int(last[a])), width, least) for a, b in groups]
+            of = np.repeat([a for a, _ in groups], [len(m[0]) for m in made]) if groups else np.zeros(0, np.int64)
+            own = rows.select(list(range(n_keys))).take(pa.array(of.astype(np.int64)))
+            parts = [np.concatenate([m[j] for m in made]) if made else np.zeros(0) for j in range(3)]
+            whole = own.append_column("i", pa.array(parts[0].astype(np.int64))).append_column("n", pa.array(parts[1].astype(np.int64))).append_column("median", pa.array(parts[2].astype(np.float64)))
+            return whole.combine_chunks().to_batches()[0] if len(whole) else None
+
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            group = rows.column("group").to_numpy()
+            edges = np.flatnonzero(group[1:] != group[:-1]) + 1 if len(group) else np.zeros(0, np.int64)
+            starts = [0, *edges.tolist()]
+            held = rows.slice(starts[-1])  # the last group may go on
+            done = told(rows, list(zip(starts[:-1], starts[1:])))
+            if done is not None:
+                yield done
+        if held is not None and len(held):
+            done = told(held, [(0, len(held))])
+            if done is not None:
+                yield done
+
+    return run
 
 
 def brand_ratios(medians: DataFrame, unit_baselines: DataFrame) -> DataFrame:

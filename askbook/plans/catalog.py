@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,26 @@ C = replace(DEFAULT, epoch=EPOCH)
 
 @dataclass
 class Market:
-    """What the index queries share; each part is a plan, built when asked for."""
+    """What the index queries share; each part is a plan, built when asked for.
+
+    Queries with many branches over the listings pass shared=True: the bounded listings with their units are then kept by the executors, in
+    memory or on disk, from first use on, and read from there in each branch. Blocks lost with an executor are made anew. Spark keeps one copy for
+    all queries of a session whose plan is the same.
+    """
 
     spark: SparkSession
     sf_dir: str
+    shared: bool = False
 
     @cached_property
     def records(self) -> DataFrame:
-        return units.assign_units(units.bounded(listings(self.spark, self.sf_dir), C), C)
+        own = units.assign_units(units.bounded(listings(self.spark, self.sf_dir), C), C)
+        return own.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else own
 
     @cached_property
     def plain(self) -> DataFrame:
+        if self.shared:
+            return self.records.drop("tier", "unit_key")
         return units.bounded(listings(self.spark, self.sf_dir), C)
 
     @cached_property
@@ -93,27 +103,32 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = Market
 
+
+def _S(spark: SparkSession, sf_dir: str) -> Market:
+    return Market(spark, sf_dir, shared=True)
+
+
 SPARK = {
     "brand_level": lambda s, d: _brand_level(_M(s, d)),
     "unit_assignment": lambda s, d: _M(s, d).records.groupBy("tier", "brand", "unit_key").agg(F.count(F.lit(1)).alias("n")),
     "tier_counts": lambda s, d: _M(s, d).records.groupBy("tier").agg(F.count(F.lit(1)).alias("n")),
     "baseline_median": lambda s, d: _M(s, d).unit_baselines,
     "brand_baseline": lambda s, d: _M(s, d).brand_baselines,
-    "rolling_unit_median": lambda s, d: (lambda m: m.medians.join(m.dates.select("i", "date"), "i").select(*units.UNIT, "date", "n", "median"))(_M(s, d)),
+    "rolling_unit_median": lambda s, d: (lambda m: m.medians.join(m.dates.select("i", "date"), "i").select(*units.UNIT, "date", "n", "median"))(_S(s, d)),
     "rolling_model_median": lambda s, d: (lambda m: index.rolling_medians(m.plain, m.dates, ["brand", "model"], C.window_dates, C.min_per_unit))(_M(s, d)),
     "brand_weights": lambda s, d: _M(s, d).weights.withColumn("weight", F.round("weight", 6)),
-    "brand_ratios": lambda s, d: (lambda m: m.ratios.join(m.dates.select("i", "date"), "i").select("brand", "date", F.round("ratio", 6).alias("ratio"), "listings"))(_M(s, d)),
-    "composite": lambda s, d: _M(s, d).composite,
-    "condition_indices": lambda s, d: _M(s, d).conditions,
-    "condition_spread": lambda s, d: index.condition_spread(_M(s, d).conditions),
+    "brand_ratios": lambda s, d: (lambda m: m.ratios.join(m.dates.select("i", "date"), "i").select("brand", "date", F.round("ratio", 6).alias("ratio"), "listings"))(_S(s, d)),
+    "composite": lambda s, d: _S(s, d).composite,
+    "condition_indices": lambda s, d: _S(s, d).conditions,
+    "condition_spread": lambda s, d: index.condition_spread(_S(s, d).conditions),
     "availability": lambda s, d: index.availability(_M(s, d).plain, C),
-    "brand_subindices": lambda s, d: (lambda m: index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates))(_M(s, d)),
-    "subindex_changes": lambda s, d: (lambda m: feed.one_day_changes(index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates)))(_M(s, d)),
+    "brand_subindices": lambda s, d: (lambda m: index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates))(_S(s, d)),
+    "subindex_changes": lambda s, d: (lambda m: feed.one_day_changes(index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates)))(_S(s, d)),
     "anchor_date": lambda s, d: (lambda m: index.anchor_date(m.plain, m.brand_baselines))(_M(s, d)),
-    "index_changes": lambda s, d: index.changes(_M(s, d).composite, AS_OF),
-    "contributions": lambda s, d: (lambda m: index.contributions(m.ratios, m.weights, m.dates).withColumn("contribution", F.round("contribution", 6)))(_M(s, d)),
+    "index_changes": lambda s, d: index.changes(_S(s, d).composite, AS_OF),
+    "contributions": lambda s, d: (lambda m: index.contributions(m.ratios, m.weights, m.dates).withColumn("contribution", F.round("contribution", 6)))(_S(s, d)),
     "price_outliers": lambda s, d: (lambda m: units.price_outliers(m.plain, m.brand_baselines, C))(_M(s, d)),
-    "history_sheet": lambda s, d: (lambda m: feed.history_sheet(m.composite, m.conditions, index.availability(m.plain, C)))(_M(s, d)),
+    "history_sheet": lambda s, d: (lambda m: feed.history_sheet(m.composite, m.conditions, index.availability(m.plain, C)))(_S(s, d)),
     "dedupe_groups": lambda s, d: _M(s, d).grouped.select("id", "date", "group_id"),
     "dedupe_survivors": lambda s, d: dedupe.survivors(_M(s, d).grouped).select("id", "date", "price", "group_id"),
     "dup_summary": lambda s, d: dedupe.summaries(_M(s, d).grouped).where("times_listed > 1"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askbook.functions import numbers, text
 from askbook.operators import cards as card_ops
 from askbook.operators import checks, dedupe, index
-from askbook.plans.catalog import _CARDS, _COMPOSITE, _GRAIN, _GROUPS, _L, _M, C, _with
+from askbook.plans.catalog import _CARDS, _COMPOSITE, _GRAIN, _GROUPS, _L, _M, _S, C, _with
 from askbook.sources import messages, pages
 from askbook.sources.adapters import AS_OF, table
 from askbook.streaming import ingest
@@ -109,10 +109,10 @@ SPARK = {
     "set_differences": lambda s, d: checks.set_differences(table(s, d, "customer").select("c_nationkey"), table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))).groupBy("c_nationkey", "side").agg(F.count(F.lit(1)).alias("n")),
     "card_invariants": lambda s, d: checks.broken_cards(card_ops.cards(_M(s, d).grained, AS_OF, C), C),
     "card_alerts": lambda s, d: checks.card_alerts(card_ops.cards(_M(s, d).grained, AS_OF, C)),
-    "index_alerts": lambda s, d: checks.index_alerts(index.changes(_M(s, d).composite, AS_OF).withColumn("change_1d_pct", F.lit(9.0)), C),
-    "asof_lookup": lambda s, d: _M(s, d).composite.agg(*[index.as_of_value(F.lit(t)).alias(n) for n, t in (("a", "1995-06-30"), ("b", "2000-01-01"), ("c", "1990-01-01"))]),
+    "index_alerts": lambda s, d: checks.index_alerts(index.changes(_S(s, d).composite, AS_OF).withColumn("change_1d_pct", F.lit(9.0)), C),
+    "asof_lookup": lambda s, d: _S(s, d).composite.agg(*[index.as_of_value(F.lit(t)).alias(n) for n, t in (("a", "1995-06-30"), ("b", "2000-01-01"), ("c", "1990-01-01"))]),
     "ref_family": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), card_ops.ref_family(F.element_at(F.array(F.lit("Omega"), F.lit("Hublot"), F.lit("Audemars Piguet"), F.lit("Rolex")), (F.col("p_partkey") % 4 + 1).cast("int")), F.concat_ws(".", F.lit("310"), F.lit("32"), F.lit("42"), F.lit("50"), F.col("p_partkey"))).alias("family")),
-    "insight": lambda s, d: (lambda m: index.insight(index.contributions(m.ratios, m.weights, m.dates), index.changes(m.composite, AS_OF)))(_M(s, d)),
+    "insight": lambda s, d: (lambda m: index.insight(index.contributions(m.ratios, m.weights, m.dates), index.changes(m.composite, AS_OF)))(_S(s, d)),
     "price_changes_sheet": lambda s, d: _price_changes(s, d),
     "view_counts": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), numbers.view_count(F.concat((F.col("p_size") / 10).cast("decimal(10,1)"), F.lit("K"))).alias("views"), numbers.view_count(F.concat((F.col("p_size") / 10).cast("decimal(10,1)"), F.lit("K")), compat=True).alias("compat")),
 }

@@ -1,10 +1,12 @@
 import datetime as dt
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from askbook.config import Config
-from askbook.functions import numbers
+from askbook.functions import numbers, pools
 from askbook.operators import cards, checks, dedupe, feed, index, replies, units
 from askbook.sources import messages, pages
 from askbook.streaming import ingest
@@ -61,11 +63,14 @@ def test_fill_and_freshness(spark):
     assert (c.current, c.days_since_fresh, c.first_computed, c.change_1d, c.change_7d) == (1.0, 2, "2026-01-02", 0.0, None)
 
 
-def test_rolling_pools_count_observed_dates(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_rolling_pools_count_observed_dates(spark, monkeypatch, small):
     monkeypatch.setattr(index, "SPAN", 4)
     days = [f"2026-{m:02d}-01" for m in range(1, 12)]
     rows = [("A", days[0], 10), ("A", days[0], 20), ("A", days[2], 30), ("A", days[9], 50)] + [("B", d, 1) for d in days]
     df = spark.createDataFrame(rows, "brand string, date string, price int")
+    df = df.unionByName(df.where("date = '2026-01-01' AND price = 20")) if small else df
+    rows = rows + [("A", days[0], 20)] if small else rows
     got = {(r.brand, r.i): (r.n, r.median) for r in index.rolling_medians(df, index.date_index(df), ["brand"], 3, 1).collect()}
     want = {}
     for b in "AB":
@@ -77,6 +82,23 @@ def test_rolling_pools_count_observed_dates(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("small", [0, 128])
+def test_sliding_pools_by_brute_force(monkeypatch, seed, small):
+    monkeypatch.setattr(pools, "SMALL", small)
+    r = np.random.default_rng(seed)
+    rows = sorted({(int(d), float(p)): int(n) for d, p, n in zip(r.integers(0, 40, 60), r.integers(1, 15, 60), r.integers(1, 4, 60))}.items())
+    date, price, n = np.array([k[0] for k, _ in rows]), np.array([k[1] for k, _ in rows]), np.array([v for _, v in rows])
+    first, last, width, least = int(r.integers(0, 20)), int(r.integers(20, 45)), int(r.integers(1, 9)), int(r.integers(1, 5))
+    got = list(zip(*[x.tolist() for x in pools.rolling(date, price, n, first, last, width, least)]))
+    want = []
+    for t in range(first, last + 1):
+        pool = [p for (d, p), k in rows if t - width < d <= t for _ in range(k)]
+        if len(pool) >= least:
+            want.append((t, len(pool), statistics.median(pool)))
+    assert got == want
+
+
 def test_weights_sum_to_one_and_contributions_reconcile(spark):
     rows = [(str(i), b, f"2026-01-{1 + i % 9:02d}", 1000 + 37 * i % 400, "n", None, None) for i in range(300) for b in ("A", "B", "C", "D")[: 1 + i % 4]]
     df = spark.createDataFrame(rows, "id string, brand string, date string, price int, cond string, ref string, model string")
