@@ -2,9 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Toxic documents go; lines that recur across documents go; one document of each group
-of near-duplicates stays (the one with the smallest doc_id, and of rows that share it the one with the least fingerprint, so rows of
-one doc_id with unlike texts stay each; rows without a doc_id cannot be told apart and stay);
-personal data and secrets get surrogates; what is left is packed into sequences. n_chars follows the text.
+of near-duplicates stays (the one with the smallest doc_id, and of rows that share it the one with the least fingerprint, then the
+least text, so rows of one doc_id with unlike texts stay each; a row without a doc_id stays if it is so the first of a group in which no row has one);
+personal data and secrets get surrogates, under the key of spark.askbook.piiKey where that is set; what is left is packed into sequences. n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askbook.llm import line_dedup, packing, pii, simhash, toxicity
-from askbook.llm._util import checkpointed
+from askbook.llm._util import checkpointed, free_name
 from askbook.llm.queries import PII_KEY, table, tokenizer
 
 
@@ -33,14 +33,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = simhash.components(docs).where("doc_id = component_id")
-    stay = told.groupBy("component").agg(F.min(F.struct("doc_id", F.col("fp").alias("_fp"))).alias("one")).select("one.*")
-    named = simhash.with_fingerprint(docs.where("doc_id IS NOT NULL"), "_fp").join(stay, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    told = simhash.components(docs)
+    # component_id is null where no row of a component has an id.
+    stay = told.where("doc_id <=> component_id").groupBy("component").agg(F.min(F.struct("doc_id", F.col("fp").alias("fp"))).alias("one")).select("one.*")
+    fp, at = free_name(docs.columns, "fp"), free_name(docs.columns, "stay_id")
+    stay = stay.toDF(at, f"{fp}_stay")
+    named = simhash.with_fingerprint(docs, fp).join(stay, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(fp) == F.col(f"{fp}_stay")), "left_semi")
+    return named.groupBy("doc_id", fp).agg(F.min_by(F.struct(*docs.columns), "text").alias("one")).select("one.*")
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _as_documents(pii.pseudonymise(docs, PII_KEY), docs)
+    return _as_documents(pii.pseudonymise(docs, (spark.conf.get("spark.askbook.piiKey", None) or PII_KEY.decode()).encode()), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
