@@ -39,7 +39,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fp, at = free_name(docs.columns, "fp"), free_name(docs.columns, "stay_id")
     stay = stay.toDF(at, f"{fp}_stay")
     named = simhash.with_fingerprint(docs, fp).join(stay, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(fp) == F.col(f"{fp}_stay")), "left_semi")
-    return named.groupBy("doc_id", fp).agg(F.min_by(F.struct(*docs.columns), "text").alias("one")).select("one.*")
+    return named.groupBy("doc_id", fp).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("one")).select("one.*")
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
