@@ -89,6 +89,8 @@ def test_columns_with_clashing_names_and_a_key_of_ones_own(spark):
     rows = [(1, "Mr Smith wrote q@x.org", 1, "x"), (2, "Mr Smith wrote q@x.org", 2, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp int, stay_id string")
     assert [tuple(r)[0] for r in C.one_of_each(spark, docs, "").collect()] == [1]
+    none = spark.createDataFrame([(3, None), (3, None)], "doc_id bigint, text string")
+    assert [tuple(r) for r in C.one_of_each(spark, none, "").collect()] == [(3, None)]
     public = C.replace_personal(spark, docs, "").first().text
     spark.conf.set("spark.askbook.piiKey", "secret")
     try:
