@@ -36,10 +36,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = simhash.components(docs)
     # component_id is null where no row of a component has an id.
     stay = told.where("doc_id <=> component_id").groupBy("component").agg(F.min(F.struct("doc_id", F.col("fp").alias("fp"))).alias("one")).select("one.*")
-    fp, at = free_name(docs.columns, "fp"), free_name(docs.columns, "stay_id")
-    stay = stay.toDF(at, f"{fp}_stay")
-    named = simhash.with_fingerprint(docs, fp).join(stay, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(fp) == F.col(f"{fp}_stay")), "left_semi")
-    return named.groupBy("doc_id", fp).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("one")).select("one.*")
+    # Keys without nulls, so that the rows that stay are dealt out once, for the join and for the choice among equals.
+    fp, at, none = (free_name(docs.columns, n) for n in ("fp", "at_id", "no_id"))
+    keys = [F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(at), F.col("doc_id").isNull().alias(none)]
+    named = simhash.with_fingerprint(docs, fp).select("*", *keys).join(stay.select(*keys, F.col("fp").alias(fp)), [at, none, fp], "left_semi")
+    return named.groupBy(at, none, fp).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("one")).select("one.*")
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
