@@ -13,21 +13,19 @@ def array_median(values: Column) -> Column:
     return F.when(n > 0, (F.try_element_at(s, low).cast("double") + F.try_element_at(s, high)) / 2)
 
 
-def nearest_rank(values: Column, numerator: int, denominator: int) -> Column:
-    """Element n * numerator div denominator (from 0) of the sorted array: a quantile without interpolation."""
-    s = F.sort_array(values)
-    return F.try_element_at(s, (F.floor(F.size(values) * numerator / denominator) + 1).cast("int"))
+#: Moves a share up to the next rank where it falls on one exactly, so that percentile_disc gives element floor(n * share).
+NUDGE = 1e-12
 
 
-def distribution(values: Column) -> Column:
-    """n, median, p25 and p75 by nearest rank; null if the array is empty."""
-    told = F.struct(F.size(values).cast("bigint").alias("n"), nearest_rank(values, 1, 2).alias("median"), nearest_rank(values, 1, 4).alias("p25"), nearest_rank(values, 3, 4).alias("p75"))
-    return F.when(F.size(values) > 0, told)
+def rank_of(column: str, share: float, where: str | None = None, kind: str = "int") -> Column:
+    """The aggregate that gives element floor(n * share) (from 0) of the sorted values: counts by value, no list of them."""
+    kept = f" FILTER (WHERE {where})" if where else ""
+    return F.expr(f"percentile_disc({share + NUDGE!r}D) WITHIN GROUP (ORDER BY {column}){kept}").cast(kind)
 
 
-def position_quantile(values: Column, p: float) -> Column:
-    """Element int(n * p) of the sorted array."""
-    return F.try_element_at(F.sort_array(values), (F.floor(F.size(values) * F.lit(p)) + 1).cast("int"))
+def distribution_of(column: str, kind: str = "int") -> list[Column]:
+    """The aggregates n, median, p25 and p75 by nearest rank."""
+    return [F.count(column).alias("n"), *[rank_of(column, share, kind=kind).alias(name) for name, share in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]]
 
 
 def floor_days(start: Column, end: Column) -> Column:

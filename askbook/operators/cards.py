@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askbook.config import DEFAULT, Config
-from askbook.functions.numbers import distribution, nearest_rank
+from askbook.functions.numbers import distribution_of, rank_of
 
 
 def ref_family(brand: Column, ref: Column) -> Column:
@@ -45,16 +45,16 @@ def cards(grained: DataFrame, as_of: str, c: Config = DEFAULT) -> DataFrame:
     """A row for each publishable card: recent prices' median, quartiles and range, history, channels, variants, confidence."""
     price = F.when(F.col("recent"), F.col("price"))
     told = grained.groupBy("brand", "card_key", "grain").agg(
-        F.count_if("recent").alias("n_recent"), F.count(F.lit(1)).alias("n_total"), F.median(price).alias("med"), F.collect_list(price).alias("prices"),
+        F.count_if("recent").alias("n_recent"), F.count(F.lit(1)).alias("n_total"), F.median(price).alias("med"), rank_of("price", 0.25, "recent").alias("q1"), rank_of("price", 0.75, "recent").alias("q3"), F.min(price).alias("low"), F.max(price).alias("high"),
         F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count_distinct("channel").alias("channels"), F.count_distinct("ref").alias("refs"),
     )
     told = told.where(F.col("n_recent") >= c.card_limited)
-    q1, q3 = nearest_rank(F.col("prices"), 1, 4), nearest_rank(F.col("prices"), 3, 4)
+    q1, q3 = F.col("q1"), F.col("q3")
     spread = (q3 - q1) / F.col("med") * 100
     return told.select(
         slug(F.col("brand"), F.col("card_key")).alias("slug"), "brand", "card_key", "grain", F.when(F.col("grain") == "reference", 0).otherwise(F.col("refs")).cast("bigint").alias("variants"),
         F.when(F.col("n_recent") >= c.card_full, "full").otherwise("limited").alias("confidence"), "n_recent", "n_total", F.col("med").cast("int").alias("median"), q1.alias("fair_low"), q3.alias("fair_high"),
-        F.round(spread, 1).alias("spread_pct"), (spread > c.wide_spread_pct).alias("wide_spread"), F.array_min("prices").alias("low"), F.array_max("prices").alias("high"),
+        F.round(spread, 1).alias("spread_pct"), (spread > c.wide_spread_pct).alias("wide_spread"), "low", "high",
         "first_seen", "last_seen", F.date_diff(F.lit(as_of).cast("date"), F.col("last_seen").cast("date")).alias("days_since_last_seen"), "channels",
     )
 
@@ -80,8 +80,8 @@ def consensus(grained: DataFrame, field: str, keys: list[str]) -> DataFrame:
 
 def sales_of_cards(sold: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """brand, ref, sales_observed, and the distribution of days to sell where enough are known."""
-    told = sold.where("ref IS NOT NULL").groupBy("brand", "ref").agg(F.count(F.lit(1)).alias("sales_observed"), F.collect_list("days_to_sell").alias("d"))
-    return told.select("brand", "ref", "sales_observed", F.when(F.col("sales_observed") >= c.card_sales_min, distribution(F.col("d"))).alias("time_to_sell"))
+    told = sold.where("ref IS NOT NULL").groupBy("brand", "ref").agg(F.count(F.lit(1)).alias("sales_observed"), *distribution_of("days_to_sell"))
+    return told.select("brand", "ref", "sales_observed", F.when(F.col("sales_observed") >= c.card_sales_min, F.struct("n", "median", "p25", "p75")).alias("time_to_sell"))
 
 
 def cuts_of_cards(grouped: DataFrame, summaries: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -99,6 +99,12 @@ def without_leftovers(found: DataFrame, grained: DataFrame) -> DataFrame:
     return found.join(fine, (F.col("grain") == "model") & (F.col("brand") == F.col("b")) & (plain("card_key") == F.col("m")), "left_anti")
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """The cards with the most recent listings first, with their position: a row for each card."""
+    order = Window.partitionBy().orderBy(F.desc("n_recent"), "slug")
+    return found.withColumn("position", F.row_number().over(order)).orderBy("position")
+
+
 def card_coverage(found: DataFrame) -> DataFrame:
     """brand and its number of cards, and slugs shared by several cards (expected to be none)."""
     shared = found.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slug").withColumn("clash", F.lit(1))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +22,17 @@ def tracer_alert(stats: DataFrame) -> DataFrame:
     return stats.where("total_removed = 0").select(F.lit("nothing removed").alias("alert"))
 
 
+def signals_line(speed: DataFrame, moves: DataFrame, stock: DataFrame) -> DataFrame:
+    """line: sales and their median days, price cuts, and how much deeper the inventory looks than it is."""
+    both = speed.select("n", "median").join(moves.select("price_cuts")).join(stock.select("apparent_inflation_pct"))  # one row each
+    days = F.coalesce(F.col("median").cast("string"), F.lit("-"))
+    return both.select(F.concat_ws("", F.col("n"), F.lit(" confirmed sales (median "), days, F.lit("d), "), F.col("price_cuts"), F.lit(" price cuts, inventory looks "), F.col("apparent_inflation_pct"), F.lit("% deeper than it is")).alias("line"))
+
+
+def no_cards(cards: DataFrame) -> DataFrame:
+    return cards.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no cards").alias("alert"))
+
+
 def card_alerts(cards: DataFrame, old_days: int = 60) -> DataFrame:
     """slug, alert of cards with a wide spread or not seen for long."""
     told = F.array_compact(F.array(F.when(F.col("wide_spread"), "wide"), F.when(F.col("days_since_last_seen") > old_days, "old")))
@@ -73,10 +82,7 @@ def run_steps(steps: list) -> list[tuple[str, object]]:
 
 
 def rejections(classified: DataFrame) -> DataFrame:
-    """reason, n, share of all: a histogram of rejections, with the passed under "passed"."""
+    """reason, n, share of all: a histogram of rejections, with the passed under "passed", the most frequent first."""
     told = classified.groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    return told.join(told.agg(F.sum("n").alias("_all"))).select("reason", "n", F.round(F.col("n") * 100.0 / F.col("_all"), 1).alias("pct"))
-
+    return told.join(told.agg(F.sum("n").alias("_all"))).select("reason", "n", F.round(F.col("n") * 100.0 / F.col("_all"), 1).alias("pct")).orderBy(F.desc("n"), "reason")
 
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -64,8 +64,18 @@ def link_alive(status, body):
     return F.when(status.isNull(), True).when(status >= 400, False).otherwise((F.length(body) >= 5000) & body.contains("tgme_widget_message"))
 
 
+def live(listings: DataFrame, removed: DataFrame, probes: DataFrame) -> DataFrame:
+    """The listings without those removed (id) and those whose link was found dead (id, alive)."""
+    return listings.join(removed.select("id"), "id", "left_anti").join(probes.where(~F.col("alive")).select("id"), "id", "left_anti")
+
+
+def counts(listings: DataFrame, key: str) -> DataFrame:
+    """The key and n, the most frequent first."""
+    return listings.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)
+
+
 def channel_stats(listings: DataFrame) -> DataFrame:
-    return listings.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return listings.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")).orderBy(F.desc("n"), "channel")
 
 
 def brand_sheet(live: DataFrame, weights: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askbook.config import DEFAULT, Config
-from askbook.functions.numbers import distribution, floor_days, position_quantile
+from askbook.functions.numbers import distribution_of, floor_days
 
 
 def sold_chain(messages: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -46,10 +46,9 @@ def removals(chain: DataFrame, messages: DataFrame, listings: DataFrame, artefac
 
 
 def removal_stats(removed: DataFrame, sold: DataFrame) -> DataFrame:
-    """Counts by strategy and quantiles of the days to sell (position n*p); one row a sale at most is gathered for them."""
+    """Counts by strategy and quantiles of the days to sell (position n*p); counts by value, not sales, are gathered for them."""
     counts = removed.agg(F.count(F.lit(1)).alias("total_removed"), F.count_if(F.col("strategy") == "reply_link").alias("reply_link"), F.count_if(F.col("strategy") == "edited").alias("edited"))
-    days = sold.groupBy("channel", "listing_id").agg(F.min_by("days_to_sell", "sold_id").alias("d")).agg(F.collect_list("d").alias("d"))
-    told = days.select(F.size("d").cast("bigint").alias("samples"), *[position_quantile(F.col("d"), p).alias(n) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))])
+    told = sold.groupBy("channel", "listing_id").agg(F.min_by("days_to_sell", "sold_id").alias("d")).agg(*distribution_of("d")).withColumnRenamed("n", "samples")
     return counts.join(told)  # one row each
 
 
@@ -60,6 +59,16 @@ def prefer_fresh(fresh: DataFrame, past: DataFrame, keys: list[str]) -> DataFram
 
 def speed_by_brand(sold: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """brand, n, published, median, p25, p75: the latter null where too few sales are known."""
-    told = sold.groupBy("brand").agg(F.collect_list("days_to_sell").alias("d"), F.count(F.lit(1)).alias("n")).withColumn("s", distribution(F.col("d")))
+    told = sold.groupBy("brand").agg(*distribution_of("days_to_sell"))
     out = F.col("n") >= c.brand_sales_min
-    return told.select("brand", "n", out.alias("published"), *[F.when(out, F.col(f"s.{x}")).alias(x) for x in ("median", "p25", "p75")])
+    return told.select("brand", "n", out.alias("published"), *[F.when(out, F.col(x)).alias(x) for x in ("median", "p25", "p75")])
+
+
+def speed_overall(sold: DataFrame) -> DataFrame:
+    """n, median, p25, p75 of the days to sell over all sales."""
+    return sold.agg(*distribution_of("days_to_sell"))
+
+
+def withheld(sold: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """brand and n of the brands whose sales are too few to be told."""
+    return speed_by_brand(sold, c).where("NOT published").select("brand", "n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askbook.config import DEFAULT, Config
-from askbook.functions.numbers import distribution
+from askbook.functions.numbers import distribution_of
 
 
 def price_movement(summaries: DataFrame) -> DataFrame:
@@ -38,9 +38,9 @@ def attention(viewed: DataFrame, c: Config = DEFAULT, top: int = 10) -> DataFram
     return told.where(F.col("n") >= c.attention_min).orderBy(F.desc("attention"), "brand").limit(top).select("brand", "attention")
 
 
-def distributions(values: DataFrame, key: str, value: str) -> DataFrame:
+def distributions(values: DataFrame, key: str, value: str, kind: str = "bigint") -> DataFrame:
     """key, n, median, p25 and p75 by nearest rank."""
-    return values.groupBy(key).agg(distribution(F.collect_list(value)).alias("s")).select(key, "s.*")
+    return values.groupBy(key).agg(*distribution_of(value, kind))
 
 
 def fastest(sold: DataFrame, top: int = 5) -> DataFrame:

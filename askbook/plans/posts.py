@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from askbook.functions import numbers, text
 from askbook.operators import cards as card_ops
 from askbook.operators import checks, dedupe, index
 from askbook.plans.catalog import _CARDS, _COMPOSITE, _GRAIN, _GROUPS, _L, _M, _S, C, _with
+from askbook.plans.catalog import SQL as _CATALOG_SQL
 from askbook.sources import messages, pages
 from askbook.sources.adapters import AS_OF, table
 from askbook.streaming import ingest
@@ -25,7 +28,8 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cond = F.element_at(F.array(F.lit("BNIB"), F.lit("Pre-owned"), F.lit("Rare")), (k % 3 + 1).cast("int"))
     price = F.format_number(F.floor("p_retailprice"), 0)
     body = F.concat(cond, F.lit(" "), name, F.lit(" "), ref, F.lit("\nCase size : "), (F.col("p_size") % 30 + 25).cast("string"), F.lit("mm\nOur Ref: Z"), (k % 90000 + 10000).cast("string"), F.lit("\nPrice: SGD $"), price, F.lit("\nHSBC installment plan accepted"))
-    return p.select(k.alias("id"), body.alias("text"))
+    # Reading a post costs far more than moving it, and a small table is one file.
+    return p.select(k.alias("id"), body.alias("text")).repartition(spark.sparkContext.defaultParallelism)
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +102,7 @@ SPARK = {
     "batch_split": batch_split,
     "price_forms": lambda s, d: _price_forms(s, d),
     "page_parse": lambda s, d: pages.parse_pages(table(s, d, "pages")),
-    "page_cursor": lambda s, d: table(s, d, "pages").select("page_id", messages.next_before(F.concat(F.lit('<a data-before="'), F.col("page_id"), F.lit('">'))).alias("before")),
+    "page_cursor": lambda s, d: table(s, d, "pages").select("page_id", messages.next_before(F.concat_ws("", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="prev" href="/s/c/?before='), F.col("page_id"), F.lit('">'))), F.col("html"), F.when(F.col("page_id") % 2 == 1, F.concat(F.lit('<a data-before="'), F.col("page_id"), F.lit('">'))))).alias("before")),
     "upsert": upsert,
     "upsert_counts": lambda s, d: messages.upsert_counts(messages.upserted(*_versions(s, d), "now")),
     "high_water": lambda s, d: messages.high_water(_own(s, d)),
@@ -107,9 +111,9 @@ SPARK = {
     "event_sessions": lambda s, d: ingest.sessions(table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "user_id", "n"),
     "drift": lambda s, d: checks.drift(table(s, d, "nation"), table(s, d, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 7 == 0, F.upper(F.reverse("n_name"))).otherwise(F.col("n_name"))), ["n_nationkey"]),
     "set_differences": lambda s, d: checks.set_differences(table(s, d, "customer").select("c_nationkey"), table(s, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))).groupBy("c_nationkey", "side").agg(F.count(F.lit(1)).alias("n")),
-    "card_invariants": lambda s, d: checks.broken_cards(card_ops.cards(_M(s, d).grained, AS_OF, C), C),
+    "card_invariants": lambda s, d: checks.broken_cards(_damaged(card_ops.cards(_M(s, d).grained, AS_OF, C)), replace(C, card_limited=11)),
     "card_alerts": lambda s, d: checks.card_alerts(card_ops.cards(_M(s, d).grained, AS_OF, C)),
-    "index_alerts": lambda s, d: checks.index_alerts(index.changes(_S(s, d).composite, AS_OF).withColumn("change_1d_pct", F.lit(9.0)), C),
+    "index_alerts": lambda s, d: checks.index_alerts(index.changes(_S(s, d).composite, AS_OF), replace(C, swing_alert_pct=0.01, stale_alert_days=0)),
     "asof_lookup": lambda s, d: _S(s, d).composite.agg(*[index.as_of_value(F.lit(t)).alias(n) for n, t in (("a", "1995-06-30"), ("b", "2000-01-01"), ("c", "1990-01-01"))]),
     "ref_family": lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), card_ops.ref_family(F.element_at(F.array(F.lit("Omega"), F.lit("Hublot"), F.lit("Audemars Piguet"), F.lit("Rolex")), (F.col("p_partkey") % 4 + 1).cast("int")), F.concat_ws(".", F.lit("310"), F.lit("32"), F.lit("42"), F.lit("50"), F.col("p_partkey"))).alias("family")),
     "insight": lambda s, d: (lambda m: index.insight(index.contributions(m.ratios, m.weights, m.dates), index.changes(m.composite, AS_OF)))(_S(s, d)),
@@ -118,6 +122,12 @@ SPARK = {
 }
 
 
+def _damaged(made: DataFrame) -> DataFrame:
+    """Cards with each of their invariants broken by some of them."""
+    told = made.withColumn("slug", F.when(F.col("confidence") == "full", F.lower("grain")).otherwise(F.col("slug"))).withColumn("brand", F.when(F.col("wide_spread"), F.col("brand")))
+    return told.withColumn("fair_low", F.when(F.col("channels") > 6, F.col("high") + 1).otherwise(F.col("fair_low")))
+
+
 def _price_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").cast("int").alias("v"))
     shown = F.format_number("v", 0)
@@ -128,7 +138,7 @@ def _price_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = dedupe.deduped(_M(spark, sf_dir).plain, C).where("dup.price_change_pct IS NOT NULL")
-    return told.select("id", "brand", "price", "dup.first_price", "dup.price_change_pct", "dup.days_listed", "dup.times_listed")
+    return told.select("id", "brand", "price", "dup.first_price", "dup.price_change_pct", "dup.days_listed", "dup.times_listed").orderBy("price_change_pct", "id")
 
 
 SQL = {
@@ -146,9 +156,12 @@ SQL = {
     "event_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS \"end\", user_id, count(*) AS n FROM g GROUP BY user_id, k",
     "drift": "SELECT n_nationkey, 'n_name' AS path, n_name AS left_value, upper(reverse(n_name)) AS right_value FROM nation WHERE n_nationkey % 7 = 0 AND upper(reverse(n_name)) <> n_name ORDER BY n_nationkey LIMIT 40",
     "set_differences": "WITH a AS (SELECT c_nationkey FROM customer), b AS (SELECT s_nationkey AS c_nationkey FROM supplier) SELECT c_nationkey, side, count(*) AS n FROM (SELECT c_nationkey, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT c_nationkey, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY ALL",
-    "card_invariants": _with(_L, _GRAIN, _CARDS) + " SELECT slug, 'fair range' AS rule FROM cards WHERE NOT (fair_low <= median AND median <= fair_high)",
+    "card_invariants": _with(_L, _GRAIN, _CARDS) + """, damaged AS (SELECT * REPLACE (CASE WHEN confidence = 'full' THEN lower(grain) ELSE slug END AS slug, CASE WHEN wide_spread THEN brand END AS brand, CASE WHEN channels > 6 THEN high + 1 ELSE fair_low END AS fair_low) FROM cards),
+  clash AS (SELECT slug AS s FROM damaged GROUP BY slug HAVING count(*) > 1)
+  SELECT slug, 'unnamed' AS rule FROM damaged WHERE brand IS NULL UNION ALL SELECT slug, 'fair range' FROM damaged WHERE NOT (fair_low <= median AND median <= fair_high)
+  UNION ALL SELECT slug, 'few listings' FROM damaged WHERE n_recent < 11 UNION ALL SELECT slug, 'shared slug' FROM damaged WHERE slug IN (SELECT s FROM clash)""",
     "card_alerts": _with(_L, _GRAIN, _CARDS) + " SELECT slug, 'wide' AS alert FROM cards WHERE wide_spread UNION ALL SELECT slug, 'old' FROM cards WHERE days_since_last_seen > 60",
-    "index_alerts": _with(_L, _COMPOSITE) + " SELECT 'swing' AS alert UNION ALL SELECT 'stale' WHERE (SELECT count(*) FROM comp WHERE stale AND date > coalesce((SELECT max(date) FROM comp WHERE NOT stale), '')) >= 3",
+    "index_alerts": f"WITH c AS ({_CATALOG_SQL['index_changes']}) SELECT 'swing' AS alert FROM c WHERE abs(change_1d_pct) > 0.01 UNION ALL SELECT 'stale' FROM c WHERE days_since_fresh >= 0",
     "asof_lookup": _with(_L, _COMPOSITE) + " SELECT (SELECT arg_max(value, date) FROM comp WHERE date <= '1995-06-30') AS a, (SELECT arg_max(value, date) FROM comp WHERE date <= '2000-01-01') AS b, (SELECT arg_max(value, date) FROM comp WHERE date <= '1990-01-01') AS c",
     "ref_family": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '310.32.42.50' WHEN 1 THEN '310.32' WHEN 2 THEN '310' END AS family FROM part",
     "price_changes_sheet": _with(_L, _GROUPS) + " SELECT g.id, g.brand, g.price, t.first_price, t.price_change_pct, t.days_listed, t.times_listed FROM told t JOIN (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY date DESC, id DESC) = 1) g USING (group_id) WHERE times_listed > 1 AND price_change_pct IS NOT NULL",
