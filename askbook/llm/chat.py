@@ -73,7 +73,7 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     first = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "text", "tokens")))
     blocks = t.groupBy(*conv, "block").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()], F.max(small).alias("most"), first.alias("system"))
     along, whole = Window.partitionBy(*conv).orderBy("block").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*conv)
-    offsets = blocks.select(*conv, "block", F.col("all_tokens"), *[(F.sum(f"all_{n}").over(along) - F.col(f"all_{n}")).alias(f"{n}_0") for n in sums], F.coalesce(F.max("most").over(whole), F.lit(0)).alias("most"), F.min("system").over(whole).alias("system"))
+    offsets = blocks.select(*conv, "block", F.col("all_tokens"), *[(F.sum(f"all_{n}").over(along) - F.col(f"all_{n}")).alias(f"{n}_0") for n in sums], F.coalesce(F.max("most").over(whole), F.lit(0)).alias("most"), F.min("system").over(whole).alias("system"), F.lead("all_turns").over(Window.partitionBy(*conv).orderBy("block")).isNotNull().alias("goes_on"))
     here = Window.partitionBy(*conv, "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     t = t.select("*", *[(F.sum(c).over(here) - c).alias(f"{n}_in") for n, c in sums.items()])
     placed = t.join(offsets, [*conv, "block"]).select("*", *[(F.col(f"{n}_0") + F.col(f"{n}_in")).alias(f"{n}_before") for n in sums])
@@ -86,7 +86,7 @@ def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     placed = placed.withColumn("begins", ~F.lag("window").over(near).eqNullSafe(F.col("window")))
     # Windows that begin up to `history` tokens on may repeat a turn. Past the block's end their numbers are bounded by how fast these can grow.
     grown = F.when(alone, F.lit(2 * (history // MARKS + 1))).otherwise(F.expr(f"{history} div cell") + 4)
-    beyond = F.col("tokens_in") + history >= F.col("all_tokens")
+    beyond = F.col("goes_on") & (F.col("tokens_in") + history >= F.col("all_tokens"))
     placed = placed.withColumn("ahead", F.when(beyond, F.col("window") + grown).otherwise(F.max("window").over(near.rangeBetween(0, history))))
     return placed.select(*conv, "conv_id", "turn", "role", "text", "tokens", F.col("turns_before").alias("ord"), F.col("tokens_before").alias("before"), "window", "ahead", F.coalesce("system.tokens", F.lit(0)).alias("system_tokens"), F.when(F.col("begins"), F.col("system")).alias("system"))
 
