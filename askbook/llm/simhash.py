@@ -122,7 +122,8 @@ def links(distinct: DataFrame, bucket: int = 256) -> DataFrame:
     # Members that agree in the whole segment meet under each of its bits; the segment's first bit stands for all.
     stats = checkpointed(stats.where("seg_bit % 32 = 0 OR (shiftrightunsigned(some ^ every, seg_bit) & 1L) = 1"))
     pairs = stats.where("n = 2").where(_bits_apart("a", "b") <= MAX_BITS).select("a", "b")
-    many = variants.join(stats.where("n > 2").select("key", "n"), "key")
+    # Crowded keys grow with the corpus: never broadcast, at any size.
+    many = variants.join(stats.where("n > 2").select("key", "n").hint("merge"), "key")
     few = many.where(F.col("n") <= bucket)
     found = pairs.unionByName(_forest(few.groupBy("key").agg(F.collect_list("fp").alias("fps"))))
     if stats.where(F.col("n") > bucket).limit(1).count():
