@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from askbook.shipping import scratch, ship
 
-__all__ = ["checkpointed", "free_name", "map_rows", "replaced", "ship", "slices", "with_fields"]
+__all__ = ["checkpointed", "deleted", "free_name", "map_rows", "replaced", "ship", "slices", "with_fields", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,13 +20,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     The folder is the one that spark.checkpoint.dir names. Without it a session within one process (local mode) gets a folder of its own; a
     cluster is refused, since its executors would each write to a disk of their own.
     """
-    sc = df.sparkSession.sparkContext
+    _use_shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, options: dict[str, str]) -> str:
+    """The path of a Parquet table of the rows, new in the shared checkpoint folder; who writes it deletes it."""
+    _use_shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Takes away a table that `written` has made."""
+    told = spark._jvm.org.apache.hadoop.fs.Path(path)
+    told.getFileSystem(spark._jsc.hadoopConfiguration()).delete(told, True)
+
+
+def _use_shared_folder(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not _one_process(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or scratch())
-    return df.checkpoint(eager=True)
 
 
 def _one_process(master: str) -> bool:

@@ -27,9 +27,11 @@ def rows(seed, n, dim=16):
     return out
 
 
-@pytest.mark.parametrize("seed,block,sample", [(1, 10, 20_000), (2, 16_384, 25), (3, 16_384, 20_000)])
-def test_matches_brute_force(spark, monkeypatch, seed, block, sample):
-    monkeypatch.setattr(K, "SAMPLE", sample)
+@pytest.mark.parametrize("seed,block,rows_read,apart", [(1, 10, 4096, True), (2, 16_384, 25, True), (3, 16_384, 4096, False)])
+def test_matches_brute_force(spark, monkeypatch, seed, block, rows_read, apart):
+    monkeypatch.setattr(K, "ROWS", rows_read)
+    if not apart:
+        monkeypatch.setattr(K, "_opened", lambda paths: False)
     data = rows(seed, 200)
     frame = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id bigint, embedding array<double>, score int").repartition(3)
     got = K.top_k(frame, F.col("vec_id") % 3 == 0, k=5, query_block=block)
@@ -70,3 +72,22 @@ def test_reads_few_exact_vectors():
     s = K.Search(np.arange(20), x[:20], low, width, 5, np.full(20, -np.inf))
     s.block(np.arange(4000), ((x - low) // width).astype(np.uint8), [v.tobytes() for v in x])
     assert s.read < 0.1 * s.seen
+
+
+def test_reads_few_row_groups(spark, tmp_path):
+    r = np.random.default_rng(1)
+    x = np.floor(r.normal(0, 8, (20_000, 16)) + np.repeat(r.normal(0, 60, (20, 16)), 1000, 0)).astype(np.int64)  # a run of rows for each of 20 centres
+    whole = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, v array<bigint>").coalesce(1)
+    low, width = K.grid(whole)
+    K.va_index(whole, low, width).write.option("parquet.block.size", 1000 * (9 * 16 + 16)).parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    block = {"ids": np.arange(0, 3), "queries": x[:3], "floor": np.full(3, -np.inf)}
+    floor = K._floors(index, block, low, width, 5)
+    best = np.sort(x @ x[:3].T, axis=0)[-6:]
+    assert (floor <= best[1]).all() and (floor > best[1] - 2 * np.abs(x[:3]) @ width).all()
+    s, files = K.Search(block["ids"], block["queries"], low, width, 5, floor), K.Exact()
+    got = index.select("vec_id", "cells", "_metadata.file_path", "_metadata.row_index").toArrow()
+    for b in got.to_batches(max_chunksize=500):
+        for run in K._runs(b):
+            s.block(*K._cells(run), files.rows(run.column(2)[0].as_py(), np.asarray(run.column(3))))
+    assert 0 < files.groups_read < len(files.starts) / 2
