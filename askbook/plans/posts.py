@@ -162,6 +162,11 @@ SQL = {
   UNION ALL SELECT slug, 'few listings' FROM damaged WHERE n_recent < 11 UNION ALL SELECT slug, 'shared slug' FROM damaged WHERE slug IN (SELECT s FROM clash)""",
     "card_alerts": _with(_L, _GRAIN, _CARDS) + " SELECT slug, 'wide' AS alert FROM cards WHERE wide_spread UNION ALL SELECT slug, 'old' FROM cards WHERE days_since_last_seen > 60",
     "index_alerts": f"WITH c AS ({_CATALOG_SQL['index_changes']}) SELECT 'swing' AS alert FROM c WHERE abs(change_1d_pct) > 0.01 UNION ALL SELECT 'stale' FROM c WHERE days_since_fresh >= 0",
+    "insight": f"""WITH ch AS ({_CATALOG_SQL['index_changes']}), c AS ({_CATALOG_SQL['contributions']}),
+  s AS (SELECT brand, contribution * CASE WHEN change_1d_pct < 0 THEN -1 ELSE 1 END AS v, change_1d_pct AS pct FROM c, ch WHERE brand IS NOT NULL),
+  t AS (SELECT max(pct) AS pct, (SELECT string_agg(brand, ', ' ORDER BY v DESC, brand) FROM (SELECT * FROM s WHERE v > 0 ORDER BY v DESC, brand LIMIT 3)) AS l, (SELECT string_agg(brand, ', ' ORDER BY v, brand) FROM (SELECT * FROM s WHERE v < 0 ORDER BY v, brand LIMIT 3)) AS a FROM s)
+  SELECT 'Index ' || CASE WHEN pct > 0 THEN 'rose' WHEN pct < 0 THEN 'fell' ELSE 'held steady' END || coalesce(', led by ' || l, '') || coalesce('; against it ' || a, '') AS sentence FROM t""",
+    "page_parse": """SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS links, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS paragraphs FROM pages""",
     "asof_lookup": _with(_L, _COMPOSITE) + " SELECT (SELECT arg_max(value, date) FROM comp WHERE date <= '1995-06-30') AS a, (SELECT arg_max(value, date) FROM comp WHERE date <= '2000-01-01') AS b, (SELECT arg_max(value, date) FROM comp WHERE date <= '1990-01-01') AS c",
     "ref_family": "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '310.32.42.50' WHEN 1 THEN '310.32' WHEN 2 THEN '310' END AS family FROM part",
     "price_changes_sheet": _with(_L, _GROUPS) + " SELECT g.id, g.brand, g.price, t.first_price, t.price_change_pct, t.days_listed, t.times_listed FROM told t JOIN (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY date DESC, id DESC) = 1) g USING (group_id) WHERE times_listed > 1 AND price_change_pct IS NOT NULL",

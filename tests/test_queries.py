@@ -5,10 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from askbook.plans import catalog, path, posts
+from askbook.plans import catalog, path, posts, wording
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["brand_level", "unit_assignment", "baseline_median", "rolling_model_median", "composite", "availability", "dedupe_survivors", "dup_summary", "ref_cards", "time_to_sell", "feed_distinct", "classify_reasons", "batch_split", "upsert", "drift", "posts_to_prices", "live_feed", "channel_messages", "signals_line", "set_differences", "high_water", "card_invariants", "index_alerts"]
+CHEAP = ["brand_level", "unit_assignment", "baseline_median", "rolling_model_median", "composite", "availability", "dedupe_survivors", "dup_summary", "ref_cards", "time_to_sell", "feed_distinct", "classify_reasons", "batch_split", "upsert", "drift", "posts_to_prices", "live_feed", "channel_messages", "signals_line", "set_differences", "high_water", "card_invariants", "index_alerts", "page_parse", "insight", *wording.SPARK]
 
 
 def plain(v):
@@ -32,8 +32,7 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.SQL) == set(catalog.SPARK) and set(path.SQL) == set(path.SPARK)
-    assert set(posts.SPARK) - set(posts.SQL) == {"page_parse", "insight"}
+    assert set(catalog.SQL) == set(catalog.SPARK) and set(path.SQL) == set(path.SPARK) and set(posts.SQL) == set(posts.SPARK) and set(wording.SQL) == set(wording.SPARK)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
