@@ -185,6 +185,12 @@ def test_pages(spark):
     assert {r.id: r.alive for r in pages.probe_links(links, check).collect()} == {"a": True, "b": False, "c": True}
 
 
+def test_only_terminated_references_of_a_page_are_read(spark):
+    html = ['<title>a &lt;b&gt; &amp; c &amp</title><p>x<a href="/u?a=1&copy=2">l</a>', "<title>&amp;lt; &#65; &amp;&ampx; &nosuch; R&D</title>", None]
+    got = [tuple(r) for r in pages.parse_pages(spark.createDataFrame(list(enumerate(html)), "page_id bigint, html string")).orderBy("page_id").collect()]
+    assert got == [(0, "a <b> & c &amp", ["/u?a=1&copy=2"], 1), (1, "&lt; A &&ampx; &nosuch; R&D", [], 0), (2, None, [], 0)]
+
+
 def test_upsert_sequence(spark):
     batch = lambda text, views, reply: spark.createDataFrame([("c", 1, "2026-01-01", text, 0, views, reply), ("c", 2, None, "x", 0, 0, None)], "channel string, message_id bigint, posted_at string, message_text string, photos_count int, views bigint, reply_to bigint")
     held, told = spark.createDataFrame([], messages.SCHEMA), []
