@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -17,13 +18,19 @@ def nfkc(text: Column) -> Column:
     """Compatibility forms folded. Spark has no function for it; of text of ASCII alone no more than a null is sent to Python.
 
     As a Python function it cannot stand inside the expressions below, which take folded text as `plain`. It is sent by value
-    and needs nothing but the standard library, so workers don't need this package for it.
+    and needs nothing but the standard library, so workers don't need this package for it. Spark takes it for not deterministic, so that
+    a filter on what is read from the text isn't moved below it, where each mention of the text would be made anew.
     """
 
     def fold(t: pd.Series) -> pd.Series:
         return t.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-    return F.coalesce(F.pandas_udf(fold, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(F.pandas_udf(fold, "string").asNondeterministic()(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value made once for a row: written out, each mention of it in conditions and lambdas would make it anew."""
+    return F.transform(F.array(value), make)[0]
 
 
 def _java(pattern: str) -> str:
@@ -74,12 +81,12 @@ def normal_brand(plain: Column) -> Column:
 
 def brand(plain: Column) -> Column:
     """The brand named first (the longest name on ties), by full names anywhere in the text, else by abbreviations."""
-    upper, plain = F.upper(plain), normal_brand(plain)
     variants = sorted({(_normal(v), name) for name, others in R.BRANDS.items() for v in [name, *others]})
     table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(-len(v)).alias("size"), F.lit(name).alias("name")) for v, name in variants])
-    hits = F.filter(F.transform(table, lambda x: F.struct(F.instr(plain, x["v"]).alias("at"), x["size"].alias("size"), x["name"].alias("name"))), lambda x: x["at"] > 0)
-    short = F.array(*[F.struct(F.regexp_instr(upper, F.lit("(?U)" + p)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (p, name) in enumerate(R.SHORT_BRANDS_EXACT)])
-    return F.coalesce(F.array_min(hits)["name"], F.array_min(F.filter(short, lambda x: x["at"] > 0))["name"])
+    at = lambda p: F.transform(table, lambda x: F.struct(F.instr(p, x["v"]).alias("at"), x["size"].alias("size"), x["name"].alias("name")))
+    short = lambda p: F.array(*[F.struct(F.regexp_instr(p, F.lit("(?U)" + s)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (s, name) in enumerate(R.SHORT_BRANDS_EXACT)])
+    least = lambda hits: F.array_min(F.filter(hits, lambda x: x["at"] > 0))["name"]
+    return F.coalesce(once(normal_brand(plain), lambda p: least(at(p))), once(F.upper(plain), lambda p: least(short(p))))
 
 
 def says_terms(text: Column) -> Column:
@@ -87,8 +94,7 @@ def says_terms(text: Column) -> Column:
 
 
 def says_price(text: Column) -> Column:
-    flat = F.translate(currency_sign(text), "\n|", "  ")
-    return any_found(flat, [*R.STATED, R.LABELLED_BARE])
+    return once(F.translate(currency_sign(text), "\n|", "  "), lambda flat: any_found(flat, [*R.STATED, R.LABELLED_BARE]))
 
 
 def anatomy_signals(text: Column) -> Column:
@@ -100,7 +106,8 @@ def anatomy_signals(text: Column) -> Column:
 def with_reason(posts: DataFrame, text: str = "text", out: str = "reason") -> DataFrame:
     """The posts with the reason why each is no listing, null if it is one; the first check that fails tells."""
     t = keycaps(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
-    told = posts.withColumn("_t", t).withColumn("_kept", without_noise_lines(F.col("_t"))).withColumn("_plain", nfkc(F.col("_t"))).withColumn("_named", nfkc(F.col("_kept")))
+    told = posts.withColumn("_t", t).withColumn("_kept", without_noise_lines(F.col("_t")))
+    told = told.withColumns({"_plain": nfkc(F.col("_t")), "_named": nfkc(F.col("_kept"))})
     return told.withColumn(out, _reason(F.col(text), F.col("_t"), F.col("_plain"), F.col("_kept"), F.col("_named"))).drop("_t", "_kept", "_plain", "_named")
 
 
@@ -119,16 +126,21 @@ def _reason(text: Column, t: Column, plain: Column, kept: Column, named: Column)
 def price(text: Column) -> Column:
     """The asking price, null if none is told. Each pattern counts by its first match alone; what lies out of bounds leaves it to the next."""
     lines = keycaps(currency_sign(without_noise_lines(F.regexp_replace(text, r"(?U)https?://\S+", " "))))
+    return once(lines, lambda own: once(_flat(own), lambda flat: _price(own, flat)))
+
+
+def _flat(lines: Column) -> Column:
     flat = F.replace(F.replace(lines, F.lit("\n"), F.lit(" ")), F.lit("\\n"), F.lit(" "))
-    flat = F.regexp_replace(flat, _java(R.RETAIL), " ")
+    return F.regexp_replace(flat, _java(R.RETAIL), " ")
+
 
+def _price(lines: Column, flat: Column) -> Column:
     def number(source: Column, pattern: str, factor: int = 1, low: int = 50) -> Column:
         n = F.replace(first(source, pattern), F.lit(","), F.lit("")).try_cast("double") * factor
-        return F.when(n.between(low, 5_000_000), n.cast("int"))
+        return once(n, lambda x: F.when(x.between(low, 5_000_000), x.cast("int")))
 
-    bare = number(lines, R.LABELLED_BARE, low=500)
-    year = bare.between(1990, 2035) & ~found(lines, R.CURRENCY_MARK)
-    told = F.coalesce(*[number(flat, p) for p in R.PRICES], number(flat, R.THOUSANDS, 1000), F.when(~year, bare), number(flat, R.DASHED))
+    bare = once(number(lines, R.LABELLED_BARE, low=500), lambda n: F.when(~(n.between(1990, 2035) & ~found(lines, R.CURRENCY_MARK)), n))
+    told = F.coalesce(*[number(flat, p) for p in R.PRICES], number(flat, R.THOUSANDS, 1000), bare, number(flat, R.DASHED))
     return F.when(~(found(flat, R.MASKED) | any_found(flat, R.UNPRICED)), told)
 
 

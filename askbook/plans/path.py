@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ def posts_to_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts classified, those that pass read, bounded, freed from repeats, and priced by brand."""
     passed = posts(spark, sf_dir).transform(text.with_reason).where("reason IS NULL").drop("reason")
     read = text.with_listing(passed).select(F.col("id").cast("string").alias("id"), F.lit("c").alias("channel"), "brand", "model", "ref", "price", "cond", F.lit(AS_OF).alias("date"), "attributes.stock_code")
+    # Repeats take two branches over the listings; from memory or disk, each post is read once, and filters on what it says stay above.
+    read = read.persist(StorageLevel.MEMORY_AND_DISK)
     items = dedupe.survivors(dedupe.groups(units.bounded(read, C), C))
     return items.groupBy("brand").agg(F.count(F.lit(1)).alias("n"), F.median("price").alias("median"))
 

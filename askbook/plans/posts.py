@@ -13,7 +13,7 @@ from askbook.operators import checks, dedupe, index
 from askbook.plans.catalog import _CARDS, _COMPOSITE, _GRAIN, _GROUPS, _L, _M, _S, C, _with
 from askbook.plans.catalog import SQL as _CATALOG_SQL
 from askbook.sources import messages, pages
-from askbook.sources.adapters import AS_OF, table
+from askbook.sources.adapters import AS_OF, dealt, table
 from askbook.streaming import ingest
 
 NAMES = [("Rolex", "Submariner"), ("Omega", "Speedmaster"), ("Tudor", "Black Bay"), ("Cartier", "Santos"), ("Panerai", "Luminor")]
@@ -28,8 +28,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cond = F.element_at(F.array(F.lit("BNIB"), F.lit("Pre-owned"), F.lit("Rare")), (k % 3 + 1).cast("int"))
     price = F.format_number(F.floor("p_retailprice"), 0)
     body = F.concat(cond, F.lit(" "), name, F.lit(" "), ref, F.lit("\nCase size : "), (F.col("p_size") % 30 + 25).cast("string"), F.lit("mm\nOur Ref: Z"), (k % 90000 + 10000).cast("string"), F.lit("\nPrice: SGD $"), price, F.lit("\nHSBC installment plan accepted"))
-    # Reading a post costs far more than moving it, and a small table is one file.
-    return p.select(k.alias("id"), body.alias("text")).repartition(spark.sparkContext.defaultParallelism)
+    return dealt(p.select(k.alias("id"), body.alias("text")))  # reading a post costs far more than moving it
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ KINDS = [
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.element_at(F.array(*[F.lit(t) for t, _ in KINDS]), (F.col("p_partkey") % len(KINDS) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("text")).transform(text.with_reason).select("id", "reason")
+    return dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("text"))).transform(text.with_reason).select("id", "reason")
 
 
 _KINDS = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {'NULL' if r is None else repr(r)}" for i, (_, r) in enumerate(KINDS)) + " END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askbook.functions import rules as R
 from askbook.functions import text
-from askbook.sources.adapters import table
+from askbook.sources.adapters import dealt, table
 
 #: Each way to write a brand, and the brand.
 SPELLINGS = [(v, name) for name, others in R.BRANDS.items() for v in [name, *others]] + [("AP", "Audemars Piguet"), ("JLC", "Jaeger-LeCoultre"), ("GS", "Grand Seiko"), ("RM 35-02", "Richard Mille")]
@@ -31,7 +31,7 @@ def _of(values: list[str], key: Column) -> Column:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size"))
+    return dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size")))
 
 
 def brand_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(small: DataFrame) -> DataFrame:
+    """The rows spread over all cores, for tables of few bytes whose rows are read as texts: a small table is one file of few row groups."""
+    spark = small.sparkSession
+    return small.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, channel, brand, model, ref, date, cond, price, stock_code."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askbook.functions import text as X
+from askbook.plans import posts
 
 
 def run(spark, rows, make, plain=False):
@@ -81,3 +82,19 @@ def test_batch_and_title(spark):
     assert [tuple(x) for x in got[0]] == [(1, True, "Rolex Submariner\n126610LN"), (2, False, "Tudor"), (3, True, "Omega")]
     assert got[1] == got[2] == []
     check(spark, [("🔥 hot\nhttp://x.y\nJoin us now\nhey\n  Rolex Daytona  \nmore", "Rolex Daytona"), ("abc", "abc"), ("", ""), (None, ""), ("x" * 200, "x" * 120)], X.title)
+
+
+def test_a_text_is_made_once_for_all_patterns(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    own = spark.createDataFrame([("Rolex Submariner, Price: $9,000",)], "text string")
+    assert plan(own.select(X.price(F.col("text")).alias("p"))).count("https?://") == 1
+    assert plan(own.select(X.brand(F.col("text")).alias("b"))).count("[-\\s]+") == 1
+    passed = plan(X.with_reason(own.repartition(3)).where("reason IS NULL"))
+    assert passed.index("Filter") < passed.index("Repartition") and passed.count("linktree") == 1
+
+
+def test_rows_to_read_are_dealt_over_the_cores(spark, tmp_path):
+    spark.createDataFrame([(k, 10, 900.0) for k in range(40)], "p_partkey bigint, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("classify_reasons", "rejection_histogram", "post_extraction"):
+        assert "Repartition" in posts.SPARK[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert posts.classified(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
