@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askbook.config import DEFAULT, Config
@@ -17,24 +17,46 @@ def bounded(listings: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def assign_units(listings: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """tier and unit_key: the reference if it has enough listings, else the model if it has, else the brand.
 
-    Counts are aggregated and joined back, so a common key is summed where it is read and a skewed join can be split.
+    Counts are aggregated and joined back, so a common key is summed where it is read and a skewed join can be split. The listings meet
+    the common references, at most an eighth as many, in hash joins that need no sort of them; models have a row each.
     """
     refs = listings.where("ref IS NOT NULL").groupBy("brand", "ref").agg(F.count(F.lit(1)).alias("_n_ref")).where(F.col("_n_ref") >= c.unit_ref_min)
     models = listings.where("model IS NOT NULL").groupBy("brand", "model").agg(F.count(F.lit(1)).alias("_n_model")).where(F.col("_n_model") >= c.unit_model_min)
-    told = listings.join(refs, ["brand", "ref"], "left").join(models, ["brand", "model"], "left")
+    told = listings.join(refs.hint("shuffle_hash"), ["brand", "ref"], "left").join(F.broadcast(models), ["brand", "model"], "left")
+    return told.select(*listings.columns, *_unit())
+
+
+def _unit() -> list[Column]:
+    """tier and unit_key, told by which counts there are."""
     tier = F.when(F.col("_n_ref").isNotNull(), "ref").when(F.col("_n_model").isNotNull(), "model").otherwise("brand")
-    key = F.when(tier == "ref", F.col("ref")).when(tier == "model", F.col("model")).otherwise(F.lit(""))
-    return told.withColumn("tier", tier).withColumn("unit_key", key).select(*listings.columns, "tier", "unit_key")
+    key = F.when(F.col("_n_ref").isNotNull(), F.col("ref")).when(F.col("_n_model").isNotNull(), F.col("model")).otherwise(F.lit(""))
+    return [tier.alias("tier"), key.alias("unit_key")]
+
+
+def unit_sizes(listings: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """tier, brand, unit_key, volume: the units that assign_units gives and how many listings each has.
+
+    All is told by counts of brand, reference and model, so the listings are read once and no row of them is moved. Nulls are met as
+    values and dropped after: a filter on either branch would be moved below the counts and have them made twice.
+    """
+    own = listings.groupBy("brand", "ref", "model").agg(F.count(F.lit(1)).alias("n"))
+    refs = own.withColumn("_n_ref", F.sum("n").over(Window.partitionBy("brand", "ref")))  # a row for each model of a reference
+    models = own.groupBy(F.col("brand").alias("_brand"), F.col("model").alias("_model")).agg(F.sum("n").alias("_n_model"))
+    told = refs.join(F.broadcast(models), F.col("brand").eqNullSafe(F.col("_brand")) & F.col("model").eqNullSafe(F.col("_model")), "left")
+    enough = lambda k, least: F.when(F.col(k).isNotNull() & (F.col(f"_n_{k}") >= least), F.col(f"_n_{k}")).alias(f"_n_{k}")
+    told = told.select("brand", "ref", "model", "n", enough("ref", c.unit_ref_min), enough("model", c.unit_model_min))
+    return told.select("brand", "n", *_unit()).groupBy(*UNIT).agg(F.sum("n").alias("volume"))
 
 
 UNIT = ["tier", "brand", "unit_key"]
 
 
-def baselines(listings: DataFrame, keys: list[str], c: Config = DEFAULT) -> DataFrame:
+def baselines(listings: DataFrame, keys: list[str], c: Config = DEFAULT, volume: DataFrame | None = None) -> DataFrame:
     """keys, baseline, excluded, volume: the median of each group's first prices by date, without outliers.
 
     Prices outside the outlier bounds of the raw median are left out if enough others remain. Groups with
     too few prices have no row. First rows per group are found with a rank limit, which Spark applies before the shuffle.
+    volume: keys and volume, where they are known.
     """
     first = Window.partitionBy(*keys).orderBy("date", "id")
     head = listings.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= c.baseline_rows)
@@ -42,7 +64,8 @@ def baselines(listings: DataFrame, keys: list[str], c: Config = DEFAULT) -> Data
     inside = F.filter("prices", lambda p: (p >= F.col("raw") * c.outlier_low) & (p <= F.col("raw") * c.outlier_high))
     raw = raw.withColumn("inside", inside).withColumn("_enough", F.size("inside") >= c.baseline_min)
     told = raw.select(*keys, F.when(F.col("_enough"), array_median(F.col("inside"))).otherwise(F.col("raw")).alias("baseline"), F.when(F.col("_enough"), F.size("prices") - F.size("inside")).otherwise(0).cast("bigint").alias("excluded"))
-    volume = listings.groupBy(*keys).agg(F.count(F.lit(1)).alias("volume"))
+    if volume is None:
+        volume = listings.groupBy(*keys).agg(F.count(F.lit(1)).alias("volume"))
     return told.join(volume, keys)
 
 
