@@ -8,6 +8,19 @@ import numpy as np
 SMALL = 128
 
 
+def filled(date: np.ndarray, n: np.ndarray, starts: np.ndarray, width: int, least: int) -> np.ndarray:
+    """For each group of rows (starts: where they begin), in order of date: whether any pool of width dates holds `least` prices and one of them.
+
+    All groups are looked at side by side, as most of the rare ones have no such pool.
+    """
+    if not len(starts):
+        return np.zeros(0, bool)
+    key = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(date)))) * (int(date.max()) + width + 1) + date
+    sums = np.concatenate([[0], np.cumsum(n)])
+    size = sums[np.searchsorted(key, key + (width - 1), side="right")] - sums[:-1]
+    return np.logical_or.reduceat(size >= max(1, least), starts)
+
+
 def rolling(date: np.ndarray, price: np.ndarray, n: np.ndarray, first: int, last: int, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """date, size and median of the pools of width dates that end at each date from first to last, where they hold `least` prices and one of them.
 

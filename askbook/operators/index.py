@@ -52,8 +52,11 @@ def _slide(n_keys: int, width: int, least: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def told(rows: pa.Table, groups: list[tuple[int, int]]) -> pa.RecordBatch:
-            run, i, last, price, n = (rows.column(n_keys + j).to_numpy() for j in range(5))
+        def told(rows: pa.Table, starts: list[int]) -> pa.RecordBatch | None:
+            """Of the groups of rows; starts: where each begins, and where the last ends."""
+            run, i, last, price, n = (rows.column(n_keys + j).to_numpy()[: starts[-1]] for j in range(5))
+            kept = np.flatnonzero(pools.filled(i, n, np.array(starts[:-1], np.int64), width, least)).tolist()
+            groups = [(starts[g], starts[g + 1]) for g in kept]
             made = [pools.rolling(i[a:b], price[a:b], n[a:b], int(run[a]) * span, min((int(run[a]) + 1) * span - 1, int(last[a])), width, least) for a, b in groups]
             of = np.repeat([a for a, _ in groups], [len(m[0]) for m in made]) if groups else np.zeros(0, np.int64)
             own = rows.select(list(range(n_keys))).take(pa.array(of.astype(np.int64)))
@@ -67,11 +70,11 @@ def _slide(n_keys: int, width: int, least: int, span: int):
             edges = np.flatnonzero(group[1:] != group[:-1]) + 1 if len(group) else np.zeros(0, np.int64)
             starts = [0, *edges.tolist()]
             held = rows.slice(starts[-1])  # the last group may go on
-            done = told(rows, list(zip(starts[:-1], starts[1:])))
+            done = told(rows, starts)
             if done is not None:
                 yield done
         if held is not None and len(held):
-            done = told(held, [(0, len(held))])
+            done = told(held, [0, len(held)])
             if done is not None:
                 yield done
 

@@ -14,6 +14,7 @@ from askbook.operators import cards, dedupe, feed, index, replies, signals, unit
 from askbook.sources.adapters import AS_OF, EPOCH, LISTINGS_SQL, listings, table
 
 C = replace(DEFAULT, epoch=EPOCH)
+_KEPT = ["id", "brand", "date", "cond", "price"]
 
 
 @dataclass
@@ -22,31 +23,38 @@ class Market:
 
     Queries with many branches over the listings pass shared=True: the bounded listings with their units are then kept by the executors, in
     memory or on disk, from first use on, and read from there in each branch. Blocks lost with an executor are made anew. Spark keeps one copy for
-    all queries of a session whose plan is the same.
+    all queries of a session whose plan is the same. Of the columns those are kept that an index is made of; units=False: without units, for
+    queries that only look at brands.
     """
 
     spark: SparkSession
     sf_dir: str
     shared: bool = False
+    units: bool = True
 
     @cached_property
     def records(self) -> DataFrame:
         own = units.assign_units(units.bounded(listings(self.spark, self.sf_dir), C), C)
-        return own.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else own
+        return own.select(*_KEPT, "tier", "unit_key").persist(StorageLevel.MEMORY_AND_DISK) if self.shared else own
 
     @cached_property
     def plain(self) -> DataFrame:
-        if self.shared:
+        if self.shared and self.units:
             return self.records.drop("tier", "unit_key")
-        return units.bounded(listings(self.spark, self.sf_dir), C)
+        own = units.bounded(listings(self.spark, self.sf_dir), C)
+        return own.select(*_KEPT).persist(StorageLevel.MEMORY_AND_DISK) if self.shared else own
 
     @cached_property
     def dates(self) -> DataFrame:
         return index.date_index(self.plain)
 
+    @cached_property
+    def unit_sizes(self) -> DataFrame:
+        return units.unit_sizes(self.plain, C)
+
     @cached_property
     def unit_baselines(self) -> DataFrame:
-        return units.baselines(self.records, units.UNIT, C)
+        return units.baselines(self.records, units.UNIT, C, None if self.shared else self.unit_sizes)
 
     @cached_property
     def brand_baselines(self) -> DataFrame:
@@ -104,14 +112,14 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = Market
 
 
-def _S(spark: SparkSession, sf_dir: str) -> Market:
-    return Market(spark, sf_dir, shared=True)
+def _S(spark: SparkSession, sf_dir: str, units: bool = True) -> Market:
+    return Market(spark, sf_dir, shared=True, units=units)
 
 
 SPARK = {
     "brand_level": lambda s, d: _brand_level(_M(s, d)),
-    "unit_assignment": lambda s, d: _M(s, d).records.groupBy("tier", "brand", "unit_key").agg(F.count(F.lit(1)).alias("n")),
-    "tier_counts": lambda s, d: _M(s, d).records.groupBy("tier").agg(F.count(F.lit(1)).alias("n")),
+    "unit_assignment": lambda s, d: _M(s, d).unit_sizes.withColumnRenamed("volume", "n"),
+    "tier_counts": lambda s, d: _M(s, d).unit_sizes.groupBy("tier").agg(F.sum("volume").alias("n")),
     "baseline_median": lambda s, d: _M(s, d).unit_baselines,
     "brand_baseline": lambda s, d: _M(s, d).brand_baselines,
     "rolling_unit_median": lambda s, d: (lambda m: m.medians.join(m.dates.select("i", "date"), "i").select(*units.UNIT, "date", "n", "median"))(_S(s, d)),
@@ -119,8 +127,8 @@ SPARK = {
     "brand_weights": lambda s, d: _M(s, d).weights.withColumn("weight", F.round("weight", 6)),
     "brand_ratios": lambda s, d: (lambda m: m.ratios.join(m.dates.select("i", "date"), "i").select("brand", "date", F.round("ratio", 6).alias("ratio"), "listings"))(_S(s, d)),
     "composite": lambda s, d: _S(s, d).composite,
-    "condition_indices": lambda s, d: _S(s, d).conditions,
-    "condition_spread": lambda s, d: index.condition_spread(_S(s, d).conditions),
+    "condition_indices": lambda s, d: _S(s, d, units=False).conditions,
+    "condition_spread": lambda s, d: index.condition_spread(_S(s, d, units=False).conditions),
     "availability": lambda s, d: index.availability(_M(s, d).plain, C),
     "brand_subindices": lambda s, d: (lambda m: index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates))(_S(s, d)),
     "subindex_changes": lambda s, d: (lambda m: feed.one_day_changes(index.brand_subindices(m.ratios, m.weights, m.brand_baselines, m.dates)))(_S(s, d)),
