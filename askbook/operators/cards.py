@@ -27,15 +27,17 @@ def slug(brand: Column, ref: Column) -> Column:
 def with_grain(listings: DataFrame, as_of: str, c: Config = DEFAULT, family: Column | None = None) -> DataFrame:
     """The listings with card_key and grain: the most specific of reference, family and model with enough recent listings.
 
-    Counts are taken over recent listings before any is assigned. Three-digit references count as none; what has neither
+    Counts are taken over recent listings before any is assigned, each from the listings alone; groups with enough of them are a
+    small part of the recent listings and are sent to all tasks, so the listings aren't moved. Three-digit references count as none; what has neither
     reference nor model is left out. A reference without any publishable group keeps its own.
     """
     since = F.date_format(F.date_sub(F.lit(as_of).cast("date"), c.recent_days), "yyyy-MM-dd")
     own = listings.withColumn("ref", F.when(~F.col("ref").rlike(r"^\d{3}$"), F.col("ref"))).where("ref IS NOT NULL OR model IS NOT NULL")
     own = own.withColumn("family", ref_family(F.col("brand"), F.col("ref")) if family is None else family).withColumn("recent", F.col("date") >= since)
+    base = own
     for k in ("ref", "family", "model"):
-        enough = own.where(F.col("recent") & F.col(k).isNotNull()).groupBy("brand", k).agg(F.count(F.lit(1)).alias(f"_{k}")).where(F.col(f"_{k}") >= c.card_limited)
-        own = own.join(enough, ["brand", k], "left")
+        enough = base.where(F.col("recent") & F.col(k).isNotNull()).groupBy("brand", k).agg(F.count(F.lit(1)).alias(f"_{k}")).where(F.col(f"_{k}") >= c.card_limited)
+        own = own.join(F.broadcast(enough), ["brand", k], "left")
     grain = F.when(F.col("_ref").isNotNull(), "reference").when(F.col("_family").isNotNull(), "family").when(F.col("_model").isNotNull(), "model").when(F.col("ref").isNotNull(), "reference")
     key = F.when(grain == "family", F.col("family")).when(grain == "model", F.col("model")).otherwise(F.col("ref"))
     return own.withColumn("grain", grain).withColumn("card_key", key).where("grain IS NOT NULL").drop("_ref", "_family", "_model")

@@ -239,3 +239,28 @@ def test_drift(spark):
 
 def test_config_is_the_one_place():
     assert Config(window_dates=7).window_dates == 7
+
+
+def test_unit_sizes_are_those_of_the_assigned_units(spark):
+    rows = [("A", "r1", "m")] * 8 + [("A", "r2", "m")] * 2 + [("A", None, "m")] + [("B", "r1", "n")] * 5 + [("B", "r1", "o")] * 3 + [("C", None, None)] * 4 + [("C", "r9", None), ("C", None, "q")]
+    own = spark.createDataFrame(rows, "brand string, ref string, model string")
+    want = own.transform(units.assign_units).groupBy(*units.UNIT).count().collect()
+    assert sorted(map(tuple, units.unit_sizes(own).collect())) == sorted(map(tuple, want)) == [("brand", "C", "", 6), ("model", "A", "m", 3), ("ref", "A", "r1", 8), ("ref", "B", "r1", 8)]
+    plan = units.assign_units(own)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_groups_without_a_pool_of_enough_prices_are_told_apart():
+    rng = np.random.default_rng(3)
+    for width, least in ((21, 3), (5, 2), (1, 1), (3, 4)):
+        groups = [(np.sort(rng.choice(60, size, replace=False)), rng.integers(1, 3, size)) for size in rng.integers(1, 9, 80)]
+        date, n = (np.concatenate([g[j] for g in groups]) for j in range(2))
+        starts = np.concatenate([[0], np.cumsum([len(g[0]) for g in groups])])[:-1]
+        want = [len(pools.rolling(d, d.astype(float), k, 0, 60 + width, width, least)[0]) > 0 for d, k in groups]
+        assert pools.filled(date, n, starts, width, least).tolist() == want
+
+
+def test_grain_counts_each_key_from_the_listings_alone(spark):
+    own = spark.createDataFrame([("1", "A", "r-1", "m", "2001-11-01", 900)], "id string, brand string, ref string, model string, date string, price int")
+    plan = cards.with_grain(own, "2001-11-04", family=F.substring_index("ref", "-", 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 4 and plan.count("strategy=broadcast") == 3
