@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +48,12 @@ def with_grain(listings: DataFrame, as_of: str, c: Config = DEFAULT, family: Col
 
 def cards(grained: DataFrame, as_of: str, c: Config = DEFAULT) -> DataFrame:
     """A row for each publishable card: recent prices' median, quartiles and range, history, channels, variants, confidence."""
-    price = F.when(F.col("recent"), F.col("price"))
-    told = grained.groupBy("brand", "card_key", "grain").agg(
-        F.count_if("recent").alias("n_recent"), F.count(F.lit(1)).alias("n_total"), F.median(price).alias("med"), rank_of("price", 0.25, "recent").alias("q1"), rank_of("price", 0.75, "recent").alias("q3"), F.min(price).alias("low"), F.max(price).alias("high"),
-        F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count_distinct("channel").alias("channels"), F.count_distinct("ref").alias("refs"),
-    )
-    told = told.where(F.col("n_recent") >= c.card_limited)
+    keys = ["brand", "card_key", "grain"]
+    # Quantiles are of recent prices alone, a small part; apart from them, all else of the history is counted without sorting it.
+    asked = grained.where("recent").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_recent"), F.median("price").alias("med"), rank_of("price", 0.25).alias("q1"), rank_of("price", 0.75).alias("q3"), F.min("price").alias("low"), F.max("price").alias("high"))
+    asked = asked.where(F.col("n_recent") >= c.card_limited)
+    history = grained.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n_total"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.count_distinct("channel").alias("channels"), F.count_distinct("ref").alias("refs"))
+    told = asked.join(history, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
     q1, q3 = F.col("q1"), F.col("q3")
     spread = (q3 - q1) / F.col("med") * 100
     return told.select(

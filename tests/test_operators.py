@@ -264,3 +264,11 @@ def test_grain_counts_each_key_from_the_listings_alone(spark):
     own = spark.createDataFrame([("1", "A", "r-1", "m", "2001-11-01", 900)], "id string, brand string, ref string, model string, date string, price int")
     plan = cards.with_grain(own, "2001-11-04", family=F.substring_index("ref", "-", 1))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 4 and plan.count("strategy=broadcast") == 3
+
+
+def test_cards_sort_recent_prices_alone(spark):
+    own = spark.createDataFrame([("A", "r", "reference", i < 12, 100 + i, "2001-11-01", str(i % 3), "r") for i in range(20)] + [(None, "r", "reference", True, 7, "2001-11-01", "c", None)] * 10, "brand string, card_key string, grain string, recent boolean, price int, date string, channel string, ref string")
+    made = cards.cards(own, "2001-11-04")
+    assert sorted((r.brand or "", r.n_recent, r.n_total, r.median, r.fair_low, r.fair_high, r.low, r.high, r.channels) for r in made.collect()) == [("", 10, 10, 7, 7, 7, 7, 7, 1), ("A", 12, 20, 105, 103, 109, 100, 111, 3)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("percentile" in line and "channel" in line for line in plan.splitlines() if "Aggregate" in line)
