@@ -89,11 +89,11 @@ def sales_of_cards(sold: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return told.select("brand", "ref", "sales_observed", F.when(F.col("sales_observed") >= c.card_sales_min, F.struct("n", "median", "p25", "p75")).alias("time_to_sell"))
 
 
-def cuts_of_cards(grouped: DataFrame, summaries: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """brand, ref, reposted, cut, median_cut_pct, median_days_listed of references listed again often enough."""
-    last = grouped.groupBy("group_id").agg(F.max_by(F.struct("brand", "ref"), F.struct("date", "id")).alias("r")).select("group_id", "r.*").where("ref IS NOT NULL")
+def cuts_of_cards(items: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """brand, ref, reposted, cut, median_cut_pct, median_days_listed of references listed again often enough, from items whose newest record keeps brand and ref."""
     cut = F.col("price_change_pct") < 0
-    told = summaries.where("times_listed > 1").join(last, "group_id").groupBy("brand", "ref").agg(F.count(F.lit(1)).alias("reposted"), F.count_if(cut).alias("cut"), F.round(F.round(F.median(F.when(cut, F.col("price_change_pct"))), 4), 1).alias("median_cut_pct"), F.median("days_listed").cast("int").alias("median_days_listed"))
+    again = items.where("times_listed > 1").select("newest.*", "price_change_pct", "days_listed").where("ref IS NOT NULL")
+    told = again.groupBy("brand", "ref").agg(F.count(F.lit(1)).alias("reposted"), F.count_if(cut).alias("cut"), F.round(F.round(F.median(F.when(cut, F.col("price_change_pct"))), 4), 1).alias("median_cut_pct"), F.median("days_listed").cast("int").alias("median_days_listed"))
     return told.where(F.col("reposted") >= c.card_reposts_min)
 
 

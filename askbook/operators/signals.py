@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askbook.config import DEFAULT, Config
 from askbook.functions.numbers import distribution_of
+from askbook.operators.dedupe import sized
 
 
 def price_movement(summaries: DataFrame) -> DataFrame:
@@ -22,9 +23,23 @@ def price_movement(summaries: DataFrame) -> DataFrame:
 
 
 def inventory(grouped: DataFrame) -> DataFrame:
-    raw = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("raw_listings"), F.count(F.lit(1)).alias("unique_items"))
-    pct = F.when(F.col("unique_items") > 0, F.round((F.col("raw_listings") / F.col("unique_items") - 1) * 100, 1)).otherwise(0.0)
-    return raw.withColumn("apparent_inflation_pct", pct)
+    """From records with group_id, or from items, how much more listings there are than items."""
+    raw = sized(grouped).agg(*_stock())
+    return raw.withColumn("apparent_inflation_pct", _inflation())
+
+
+def moves_and_stock(items: DataFrame) -> DataFrame:
+    """price_cuts of price_movement and apparent_inflation_pct of inventory, by one look at the items."""
+    raw = items.agg(*_stock(), F.count_if((F.col("times_listed") > 1) & (F.col("price_change_pct") < 0)).alias("price_cuts"))
+    return raw.select("price_cuts", _inflation().alias("apparent_inflation_pct"))
+
+
+def _stock() -> list[Column]:
+    return [F.coalesce(F.sum("times_listed"), F.lit(0)).alias("raw_listings"), F.count(F.lit(1)).alias("unique_items")]
+
+
+def _inflation() -> Column:
+    return F.when(F.col("unique_items") > 0, F.round((F.col("raw_listings") / F.col("unique_items") - 1) * 100, 1)).otherwise(0.0)
 
 
 def attention(viewed: DataFrame, c: Config = DEFAULT, top: int = 10) -> DataFrame:

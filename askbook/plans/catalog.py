@@ -84,6 +84,9 @@ class Market:
     def grouped(self) -> DataFrame:
         return dedupe.groups(self.plain, C)
 
+    def items(self, keep: tuple[str, ...] = (), history: bool = True) -> DataFrame:
+        return dedupe.items(self.plain, C, keep, history)
+
     @cached_property
     def grained(self) -> DataFrame:
         return cards.with_grain(self.plain, AS_OF, C, family=F.substring_index("ref", "-", 1))
@@ -138,11 +141,11 @@ SPARK = {
     "price_outliers": lambda s, d: (lambda m: units.price_outliers(m.plain, m.brand_baselines, C))(_M(s, d)),
     "history_sheet": lambda s, d: (lambda m: feed.history_sheet(m.composite, m.conditions, index.availability(m.plain, C)))(_S(s, d)),
     "dedupe_groups": lambda s, d: _M(s, d).grouped.select("id", "date", "group_id"),
-    "dedupe_survivors": lambda s, d: dedupe.survivors(_M(s, d).grouped).select("id", "date", "price", "group_id"),
-    "dup_summary": lambda s, d: dedupe.summaries(_M(s, d).grouped).where("times_listed > 1"),
+    "dedupe_survivors": lambda s, d: _M(s, d).items(("id", "date", "price")).select("newest.*", "group_id"),
+    "dup_summary": lambda s, d: _M(s, d).items().where("times_listed > 1"),
     "dedupe_stats": lambda s, d: dedupe.dedupe_stats(_M(s, d).grouped),
-    "price_movement": lambda s, d: signals.price_movement(dedupe.summaries(_M(s, d).grouped)),
-    "inventory": lambda s, d: signals.inventory(_M(s, d).grouped),
+    "price_movement": lambda s, d: signals.price_movement(_M(s, d).items()),
+    "inventory": lambda s, d: signals.inventory(_M(s, d).items(history=False)),
     "attention": lambda s, d: signals.attention(_views(s, d), C),
     "nearest_rank_dist": lambda s, d: signals.distributions(_views(s, d), "channel", "views"),
     "sold_chain": lambda s, d: _chain(_M(s, d), 2).select("channel", "sold_id", "listing_id").unionByName(_chain(_M(s, d), 1).select((F.col("channel") + 1_000_000_000).alias("channel"), "sold_id", "listing_id")),
@@ -155,7 +158,7 @@ SPARK = {
     "card_monthly": lambda s, d: cards.monthly(_M(s, d).grained, C),
     "card_by_year": lambda s, d: cards.by_year(_M(s, d).grained.withColumn("year", F.substring("date", 1, 4).cast("int") - F.col("price") % 3), "year", C),
     "card_consensus": lambda s, d: cards.consensus(_M(s, d).grained, "cond", ["brand", "card_key"]),
-    "card_cuts": lambda s, d: (lambda g: cards.cuts_of_cards(g, dedupe.summaries(g), C))(dedupe.groups(_M(s, d).plain.withColumn("ref", F.substring_index("ref", "-", 1)), C)),
+    "card_cuts": lambda s, d: cards.cuts_of_cards(dedupe.items(_M(s, d).plain.withColumn("ref", F.substring_index("ref", "-", 1)), C, keep=("brand", "ref")), C),
     "model_leftovers": lambda s, d: (lambda g: cards.without_leftovers(cards.cards(g, AS_OF, C), g).select("brand", "card_key", "grain"))(_M(s, d).grained),
     "card_coverage": lambda s, d: cards.card_coverage(cards.cards(_M(s, d).grained, AS_OF, C)),
     "feed_filter": lambda s, d: feed.page(feed.filtered(_M(s, d).plain, brand="BRAND#12", condition="n", model="prom"), "cheapest", 50).select("id", "brand", "model", "price", "date"),

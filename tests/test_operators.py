@@ -1,10 +1,13 @@
 import datetime as dt
+import os
+import re
 import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from askbook.config import Config
 from askbook.functions import numbers, pools
 from askbook.operators import cards, checks, dedupe, feed, index, replies, units
@@ -47,6 +50,32 @@ def test_deduped_keeps_newest_with_history(spark):
     assert dedupe.dedupe_stats(dedupe.groups(df.limit(0))).first().input == 0
 
 
+def test_items_are_the_groups_told_from_one_reading(spark):
+    r = np.random.default_rng(5)
+    pick = lambda *values: values[int(r.integers(0, len(values)))]
+    rows = [(str(int(i)), pick("a", "b", None), pick("B", "C", None), pick(None, 0, *range(1000, 2000, 45)), pick("2026-01-01", "2026-01-05", "2026-02-09", None), pick("R", "Q", "", None), pick(None, None, None, "", "Z1", "Z2")) for i in r.permutation(600)]
+    df = spark.createDataFrame(rows, RECORD).repartition(3)
+    grouped = dedupe.groups(df)
+    want = {x.group_id: x.asDict() for x in dedupe.summaries(grouped).collect()}
+    newest = {x.group_id: x.id for x in dedupe.survivors(grouped).collect()}
+    got = dedupe.items(df, keep=("id",)).collect()
+    assert {x.group_id: {k: v for k, v in x.asDict().items() if k != "newest"} for x in got} == want and len(got) == len(want)
+    assert {x.group_id: x.newest.id for x in got} == newest
+    sizes = dedupe.items(df, history=False)
+    assert {x.group_id: x.times_listed for x in sizes.collect()} == {k: v["times_listed"] for k, v in want.items()}
+    assert dedupe.dedupe_stats(sizes).collect() == dedupe.dedupe_stats(grouped).collect()
+    assert dedupe.items(df.withColumn("m", F.create_map("id", "id")), keep=("id", "m")).count() == len(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name,moves", [("card_cuts", 3), ("price_changes_sheet", 3), ("dedupe_stats", 4), ("signals_line", 11)])  # with the moves of its reply chains
+def test_queries_on_repeats_read_and_move_listings_once(spark, name, moves):
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("lineitem.parquet") == 1
+    assert len(re.findall(r"Exchange (?:hash|range|Single)", plan)) <= moves
+
+
 def test_baseline_leaves_out_outliers(spark):
     own = lambda prices: spark.createDataFrame([(str(i), "B", f"2026-01-{i + 1:02d}", p) for i, p in enumerate(prices)], "id string, brand string, date string, price int")
     base = lambda prices: [(r.baseline, r.excluded) for r in units.baselines(own(prices), ["brand"]).collect()]
