@@ -136,8 +136,8 @@ def _price_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = dedupe.deduped(_M(spark, sf_dir).plain, C).where("dup.price_change_pct IS NOT NULL")
-    return told.select("id", "brand", "price", "dup.first_price", "dup.price_change_pct", "dup.days_listed", "dup.times_listed").orderBy("price_change_pct", "id")
+    told = _M(spark, sf_dir).items(("id", "brand", "price")).where("times_listed > 1 AND price_change_pct IS NOT NULL")
+    return told.select("newest.*", "first_price", "price_change_pct", "days_listed", "times_listed").orderBy("price_change_pct", "id")
 
 
 SQL = {
