@@ -143,7 +143,7 @@ SPARK = {
     "dedupe_groups": lambda s, d: _M(s, d).grouped.select("id", "date", "group_id"),
     "dedupe_survivors": lambda s, d: _M(s, d).items(("id", "date", "price")).select("newest.*", "group_id"),
     "dup_summary": lambda s, d: _M(s, d).items().where("times_listed > 1"),
-    "dedupe_stats": lambda s, d: dedupe.dedupe_stats(_M(s, d).grouped),
+    "dedupe_stats": lambda s, d: dedupe.dedupe_stats(_M(s, d).items(history=False)),
     "price_movement": lambda s, d: signals.price_movement(_M(s, d).items()),
     "inventory": lambda s, d: signals.inventory(_M(s, d).items(history=False)),
     "attention": lambda s, d: signals.attention(_views(s, d), C),
