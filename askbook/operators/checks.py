@@ -22,9 +22,9 @@ def tracer_alert(stats: DataFrame) -> DataFrame:
     return stats.where("total_removed = 0").select(F.lit("nothing removed").alias("alert"))
 
 
-def signals_line(speed: DataFrame, moves: DataFrame, stock: DataFrame) -> DataFrame:
-    """line: sales and their median days, price cuts, and how much deeper the inventory looks than it is."""
-    both = speed.select("n", "median").join(moves.select("price_cuts")).join(stock.select("apparent_inflation_pct"))  # one row each
+def signals_line(speed: DataFrame, market: DataFrame) -> DataFrame:
+    """line: sales and their median days, price cuts, and how much deeper the inventory looks than it is. market: see signals.moves_and_stock."""
+    both = speed.select("n", "median").join(market.select("price_cuts", "apparent_inflation_pct"))  # one row each
     days = F.coalesce(F.col("median").cast("string"), F.lit("-"))
     return both.select(F.concat_ws("", F.col("n"), F.lit(" confirmed sales (median "), days, F.lit("d), "), F.col("price_cuts"), F.lit(" price cuts, inventory looks "), F.col("apparent_inflation_pct"), F.lit("% deeper than it is")).alias("line"))
 

@@ -68,7 +68,7 @@ SPARK = {
     "tracer_alert": lambda s, d: (lambda m: checks.tracer_alert(replies.removal_stats(replies.removals(_chain(m, 1 << 40), m.messages.withColumn("sold", F.lit(False)).withColumn("edit_count", F.lit(1)).withColumn("text_updated_at", F.lit("2026-09-01T10:00")), m.messages, "2026-08-03T15:00", "2026-08-03T16:00"), _sold(m))))(_M(s, d)),
     "sell_speed_overall": lambda s, d: replies.speed_overall(_sold(_M(s, d))),
     "sell_speed_withheld": lambda s, d: replies.withheld(_sold(_M(s, d)).withColumn("brand", F.concat("brand", F.col("channel") % 97)), C),
-    "signals_line": lambda s, d: (lambda m: checks.signals_line(replies.speed_overall(_sold(m)), signals.price_movement(dedupe.summaries(m.grouped)), signals.inventory(m.grouped)))(_M(s, d)),
+    "signals_line": lambda s, d: (lambda m: checks.signals_line(replies.speed_overall(_sold(m)), signals.moves_and_stock(m.items())))(_M(s, d)),
     "listing_documents": lambda s, d: documents.as_document(_M(s, d).plain, "id", "price", "stock_code").select(F.get_json_object("document", "$.id").alias("id"), F.size(F.map_keys(F.from_json("document", "map<string,string>"))).alias("fields")),
     "no_cards": lambda s, d: checks.no_cards(cards.cards(cards.with_grain(_M(s, d).plain, "2100-01-01", C), "2100-01-01", C)),
 }
