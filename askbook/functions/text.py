@@ -79,14 +79,20 @@ def normal_brand(plain: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(plain), F.lit("."), F.lit("")), r"(?U)[-\s]+", " "))
 
 
+def _trie(words: set[str]) -> str:
+    """A pattern that finds of the words the one that begins first (the longest on ties), by one look at each place of a text."""
+    after = {c: _trie({w[1:] for w in words if w[:1] == c}) for c in sorted({w[0] for w in words if w})}
+    parts = [re.escape(c) + rest for c, rest in after.items()] + [""] * ("" in words)
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def brand(plain: Column) -> Column:
     """The brand named first (the longest name on ties), by full names anywhere in the text, else by abbreviations."""
-    variants = sorted({(_normal(v), name) for name, others in R.BRANDS.items() for v in [name, *others]})
-    table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(-len(v)).alias("size"), F.lit(name).alias("name")) for v, name in variants])
-    at = lambda p: F.transform(table, lambda x: F.struct(F.instr(p, x["v"]).alias("at"), x["size"].alias("size"), x["name"].alias("name")))
+    names = {_normal(v): name for name, others in R.BRANDS.items() for v in [name, *others]}
+    full = F.regexp_extract(normal_brand(plain), _trie(set(names)), 0)
     short = lambda p: F.array(*[F.struct(F.regexp_instr(p, F.lit("(?U)" + s)).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (s, name) in enumerate(R.SHORT_BRANDS_EXACT)])
     least = lambda hits: F.array_min(F.filter(hits, lambda x: x["at"] > 0))["name"]
-    return F.coalesce(once(normal_brand(plain), lambda p: least(at(p))), once(F.upper(plain), lambda p: least(short(p))))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]), full), once(F.upper(plain), lambda p: least(short(p))))
 
 
 def says_terms(text: Column) -> Column:
@@ -177,13 +183,18 @@ def brand_ref(text: Column, named: Column) -> Column:
     return out
 
 
+def model(text: Column, named: Column) -> Column:
+    """The first of the brand's models that the text names."""
+    raw = reduce(lambda out, x: out.when(named == x[0], F.regexp_extract(text, _java(x[1]), 0)), R.MODELS.items(), F)
+    return once(raw, lambda m: F.nullif(m, F.lit("")))
+
+
 def model_and_ref(text: Column, named: Column) -> Column:
     """struct(model, ref). A brand with models but none of them in the text has neither; others have a reference by format."""
     dotted = F.filter(_generic_refs(text), lambda r: r.contains(".") | found(text, r"\b(ref|model)\b"))
     none = F.struct(F.lit(None).cast("string").alias("model"), F.try_element_at(dotted, F.lit(1)).alias("ref"))
-    model = F.coalesce(*[F.when(named == name, first(text, p, 0)) for name, p in R.MODELS.items()])
-    ref = F.when(model.isNotNull(), F.coalesce(brand_ref(text, named), generic_ref(text)))
-    return F.when(named.isin(*R.MODELS), F.struct(model.alias("model"), ref.alias("ref"))).otherwise(none)
+    told = lambda m: F.struct(m.alias("model"), F.when(m.isNotNull(), F.coalesce(brand_ref(text, named), generic_ref(text))).alias("ref"))
+    return F.when(named.isin(*R.MODELS), once(model(text, named), told)).otherwise(none)
 
 
 def attributes(t: Column) -> Column:

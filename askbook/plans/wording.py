@@ -42,7 +42,7 @@ def brand_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brand_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(_of([name for _, name in MODELS], F.col("id")), F.lit(" "), _of([m for m, _ in MODELS], F.col("id")), F.lit(" for sale"))
     told = _parts(spark, sf_dir).withColumn("text", made).withColumn("brand", text.brand(F.col("text")))
-    return told.select("id", "brand", text.model_and_ref(F.col("text"), F.col("brand"))["model"].alias("model"))
+    return told.select("id", "brand", text.model(F.col("text"), F.col("brand")).alias("model"))
 
 
 def noise_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from askbook.functions import rules as R
 from askbook.functions import text as X
-from askbook.plans import posts
+from askbook.plans import posts, wording
 
 
 def run(spark, rows, make, plain=False):
@@ -98,3 +101,22 @@ def test_rows_to_read_are_dealt_over_the_cores(spark, tmp_path):
     for name in ("classify_reasons", "rejection_histogram", "post_extraction"):
         assert "Repartition" in posts.SPARK[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert posts.classified(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_brand_is_the_first_and_longest_of_all_names(spark):
+    r, spellings = random.Random(12), [(X._normal(v), name) for name, others in R.BRANDS.items() for v in [name, *others]]
+    names = [v for v, _ in spellings]
+    texts = [*names, *["".join(r.choice([a, a[: r.randrange(len(a) + 1)]]) + r.choice([" ", "", " & co "]) for a in r.choices(names, k=r.randrange(1, 6))) for _ in range(500)]]
+
+    def want(text):
+        flat = X._normal(text)
+        return min(((flat.find(v), -len(v), name) for v, name in spellings if v in flat), default=(0, 0, None))[2]
+
+    check(spark, [(t, want(t)) for t in texts], X.brand, plain=True)
+
+
+def test_brand_models_looks_once_for_brands_and_once_for_models(spark, tmp_path):
+    spark.createDataFrame([(k, 10) for k in range(40)], "p_partkey bigint, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = wording.brand_models(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert " instr(" not in plan  # brands: no search of its own for each spelling
+    assert plan.count("Submariner|") == 1 and R.REF_EXACT not in plan  # models: not made anew for a null check, and no references
